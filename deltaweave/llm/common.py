@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +19,12 @@ def vocabulary_path(name: str, path: str | None = None) -> str:
 
 
 def broadcast_file(spark: SparkSession, path: str):
-    """A vocabulary file's bytes, broadcast. Vocabularies have a fixed size of at most a few MB."""
+    """A vocabulary file's bytes, broadcast, and a key that names them. Vocabularies have a fixed size of at most a few MB."""
     with open(path, "rb") as f:
         data = f.read()
     if len(data) > 64 << 20:
         raise ValueError(f"{path} has {len(data)} bytes; a vocabulary of at most 64 MB is expected")
-    return spark.sparkContext.broadcast(data)
+    return spark.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

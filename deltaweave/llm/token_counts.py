@@ -95,13 +95,13 @@ def token_counts(docs: DataFrame, model_path: str | None = None, limit: int = 40
     columns are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    model = broadcast_file(spark, vocabulary_path("piece_bpe_32k.model", model_path))
+    model, key = broadcast_file(spark, vocabulary_path("piece_bpe_32k.model", model_path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model.id not in _loaded:
+        if key not in _loaded:
             _loaded.clear()
-            _loaded[model.id] = Pieces(model.value)
-        pieces = _loaded[model.id]
+            _loaded[key] = Pieces(model.value)
+        pieces = _loaded[key]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
