@@ -69,13 +69,13 @@ class Merges:
             open_ = open_[(found != keys[open_]) & (other >= 0)]
         return rank
 
-    def encode(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of each word."""
+        out = [b""] * len(words)
         groups: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             if len(w) > ROW_SYMBOLS:
-                out[i] = self._one(w)
+                out[i] = self._one(w).astype("<u4").tobytes()
             elif w:
                 groups.setdefault(max(1, (len(w) - 1).bit_length() and 1 << (len(w) - 2).bit_length()), []).append(i)
         for pairs, members in groups.items():
@@ -91,7 +91,7 @@ class Merges:
         ids[ends - 1] = self.last[data[ends - 1]]
         return ids
 
-    def _rows(self, words: list[bytes], pairs: int) -> list[np.ndarray]:
+    def _rows(self, words: list[bytes], pairs: int) -> list[bytes]:
         """All words in step; each has a tree of `pairs` leaves (a power of two) in its row."""
         n = np.array([len(w) for w in words])
         rows, width = len(words), pairs + 1
@@ -137,7 +137,9 @@ class Merges:
                     flat_tree[node + up] = np.minimum(flat_tree[node + 2 * up], flat_tree[node + 2 * up + 1])
             active = active[flat_tree[node + 1] < NONE]
         keep = used & ~gone[:, :width]
-        return np.split(sym[:, :width][keep], np.cumsum(keep.sum(1))[:-1])
+        packed = sym[:, :width][keep].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(keep.sum(1))).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def _one(self, word: bytes) -> np.ndarray:
         """A long word, on its own tree."""
@@ -186,24 +188,21 @@ class Merges:
 
 
 class Memory:
-    """The latest words and their ids: two generations of at most `most` words each."""
+    """The latest words and their ids: two generations of about `most` words each."""
 
     def __init__(self, most: int):
         self.most, self.young, self.old = most, {}, {}
 
-    def known(self, words: Iterable[str]) -> dict[str, bytes]:
-        young, old, out = self.young, self.old, {}
-        for w in words:
-            if (ids := young.get(w)) is not None:
-                out[w] = ids
-            elif (ids := old.get(w)) is not None:
-                out[w] = young[w] = ids
-        return out
-
-    def add(self, found: dict[str, bytes]) -> None:
-        if len(self.young) + len(found) > self.most:
+    def missing(self, words: set[str]) -> set[str]:
+        """Those of `words` that aren't known; the others are in `young` from here on, until the next call."""
+        if len(self.young) > self.most:
             self.old, self.young = self.young, {}
-        self.young.update(found)
+        out = words.difference(self.young)
+        if again := out & self.old.keys():
+            old = self.old
+            self.young.update({w: old[w] for w in again})
+            out -= again
+        return out
 
 
 class Codec:
@@ -234,15 +233,24 @@ class Codec:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # the library lower-cases letter by letter
         return text.lower()
 
+    def _split(self, word: str) -> list[str]:
+        """The tokens before merging of a word; a word of letters, or one with a mark behind, needs no pattern."""
+        if word.isalpha():
+            return [word if self.by_word else " " + word]
+        if word[-1:] in ".,;:!?" and word[:-1].isalpha():
+            return [word[:-1] if self.by_word else " " + word[:-1], word[-1]]
+        return self.split(word if self.by_word else " " + word)
+
     def _tokens(self, pieces: dict[str, list[str]]) -> dict[str, bytes]:
         """Ids of each piece, given its tokens before merging."""
-        needed = set().union(*pieces.values()) if pieces else set()
-        known = self.tokens.known(needed)
-        missing = [t for t in needed if t not in known]
-        fresh = {t: ids.astype("<u4").tobytes() for t, ids in zip(missing, self.merges.encode([t.encode() for t in missing]), strict=True)}
-        known.update(fresh)
-        self.tokens.add({t: x for t, x in fresh.items() if len(t) <= 64})
-        return {p: b"".join(map(known.__getitem__, t)) for p, t in pieces.items()}
+        missing = list(self.tokens.missing(set().union(*pieces.values()) if pieces else set()))
+        known = self.tokens.young
+        known.update(zip(missing, self.merges.encode([t.encode() for t in missing]), strict=True))
+        out = {p: known[t[0]] if len(t) == 1 else b"".join(map(known.__getitem__, t)) for p, t in pieces.items()}
+        for t in missing:
+            if len(t) > 64:
+                del known[t]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         lists: list[list[str] | None] = []
@@ -257,16 +265,13 @@ class Codec:
                 lists.append(self._prepared(text).split())
             else:
                 head, *rest = text.split(" ")
-                heads[head] = []
+                heads[head] = self.split(head)
                 lists.append([head, *rest])
-        rest = [x if self.by_word else x[1:] for x in lists if x]
-        needed = set().union(*rest) if rest else set()
-        known = self.words.known(needed)
-        lead = "" if self.by_word else " "
-        fresh = self._tokens({w: self.split(lead + w) for w in needed if w not in known})
-        known.update(fresh)
-        self.words.add({w: x for w, x in fresh.items() if len(w) <= 40 and "\n" not in w})
-        first = self._tokens({h: self.split(h) for h in heads})
+        words = [x if self.by_word else x[1:] for x in lists if x]
+        missing = self.words.missing(set().union(*words) if words else set())
+        known = self.words.young
+        known.update(self._tokens({w: self._split(w) for w in missing}))
+        first = self._tokens(heads)
         out = []
         for i, words in enumerate(lists):
             if words is None:
@@ -275,6 +280,9 @@ class Codec:
                 out.append(b"".join(map(known.__getitem__, words)))
             else:
                 out.append(first[words[0]] + b"".join(map(known.__getitem__, words[1:])))
+        for w in missing:
+            if len(w) > 40 or "\n" in w:
+                del known[w]
         return out
 
     def _odd(self, parts: list[str]) -> bytes:
