@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_coding import coding_digests
 from .common import documents
+from .packing import packed_documents
 from .token_counts import token_counts
 
 
@@ -19,6 +20,10 @@ def op3_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coding_digests(documents(spark, sf_dir))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
