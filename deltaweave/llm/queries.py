@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_coding import coding_digests
 from .common import documents
 from .packing import packed_documents
+from .secrets import secret_digests
 from .simhash import fingerprint_components
 from .token_counts import token_counts
 
@@ -29,6 +30,10 @@ def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_components(documents(spark, sf_dir))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
