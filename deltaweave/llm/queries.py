@@ -14,6 +14,7 @@ from .secrets import secret_digests
 from .simhash import fingerprint_components
 from .token_counts import token_counts
 
+from .toxicity import labelled_severity
 from .weighted_sampling import edited_fingerprints
 
 
@@ -45,6 +46,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_language(documents(spark, sf_dir))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled_severity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
