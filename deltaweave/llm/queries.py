@@ -11,6 +11,7 @@ from .common import documents
 from .language import held_out_language
 from .neighbours import nearest_embeddings
 from .packing import packed_documents
+from .repeats import repeat_digests
 from .secrets import secret_digests
 from .simhash import fingerprint_components
 from .token_counts import token_counts
@@ -55,6 +56,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
