@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe_coding import parts
 from .common import checkpoint
@@ -205,3 +206,21 @@ def held_out_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Data
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
     model = fit(own.filter(~held_out() & F.col("doc_id").isNotNull()), per_language)
     return identify(own, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """`docs` with lang_pred and score behind its own columns (which replace columns of these names)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.drop("lang_pred", "score")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            for part in parts(batch, text_col):
+                for at in range(0, part.num_rows, SLICE):
+                    piece = part.slice(at, SLICE)
+                    names, scores = own.predict(piece.column(text_col).to_pylist())
+                    yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*piece.schema.names, "lang_pred", "score"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema)

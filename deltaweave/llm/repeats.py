@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .anchors import segments
 from .bpe_coding import parts
@@ -169,3 +170,24 @@ def repeat_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of `remove_repeats`."""
     done = remove_repeats(docs, length)
     return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def drop_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """`docs` with every repeating string taken out of its text, by whole characters. All rows stay; a null text stays null."""
+    names = docs.columns
+    keyed = _keyed(docs, id_col, text_col)
+    spans = repeat_spans(keyed, length, hot)
+    whole = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("kid"), F.xxhash64(whole).alias("tk"))
+    joined = rows.join(spans, ["kid", "tk"], "left").select("row", F.col(f"row.`{text_col}`").cast("string").alias("text"), "spans")
+    row_type = joined.schema["row"].dataType
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch):
+                texts = part.column("text").to_pylist()
+                kept = [t if not s else without(t.encode(), merged(s), whole_letters=True).decode() for t, s in zip(texts, part.column("spans").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(kept, pa.string())], names=["row", "kept"])
+
+    done = joined.mapInArrow(cut, T.StructType().add("row", row_type).add("kept", "string"))
+    return done.select(*[F.col("kept").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names])

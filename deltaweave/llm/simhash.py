@@ -91,27 +91,42 @@ def _within(values: list[int], radius: int) -> tuple[list[int], list[int]]:
     return x[moved].tolist(), x[group[moved]].tolist()
 
 
-def link_fingerprints(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) between the distinct values of `fp` that lead from each to all within `radius` of it."""
+def _direct(values: list[int], radius: int) -> tuple[list[int], list[int]]:
+    """Links between members of one bucket that are within the radius themselves: each to its nearest and to its least such member."""
+    x = np.sort(np.array(values, dtype=np.int64))
+    far = np.bitwise_count((x[:, None] ^ x[None, :]).view(np.uint64)).astype(np.int64)
+    np.fill_diagonal(far, BITS + 1)
+    near = far <= radius
+    some = np.flatnonzero(near.any(axis=1))
+    ends = np.concatenate([near[some].argmax(axis=1), far[some].argmin(axis=1)])
+    return x[np.concatenate([some, some])].tolist(), x[ends].tolist()
+
+
+def link_fingerprints(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET, direct: bool = False) -> DataFrame:
+    """Links (f, a, b) between the distinct values of `fp` with equal `f` that lead from each to all within `radius` of it.
+
+    `direct`: every link is itself within the radius; a link of the others may be a chain of such.
+    """
     kept = masks(radius)
-    tables = F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for v, m in enumerate(kept)]))
-    keys = distinct.select("fp", tables.alias("t")).select("fp", "t.v", "t.key")
-    sized = keys.groupBy("v", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = keys.join(sized, ["v", "key"])
+    tables = F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.xxhash64("f", F.lit(v), F.col("fp").bitwiseAND(F.lit(m))).alias("key")) for v, m in enumerate(kept)]))
+    keys = distinct.select("f", "fp", tables.alias("t")).select("f", "fp", "t.v", "t.key")
+    sized = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = keys.join(sized, "key")
+    links = _direct if direct else _within
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            ends = [_within(list(x), radius) for x in frame["fps"]]
-            yield pd.DataFrame({"a": [i for x, _ in ends for i in x], "b": [i for _, y in ends for i in y]}, dtype="int64")
+            ends = [links(list(x), radius) for x in frame["fps"]]
+            yield pd.DataFrame({"f": np.repeat(frame["f"].to_numpy(), [len(x) for x, _ in ends]), "a": [i for x, _ in ends for i in x], "b": [i for _, y in ends for i in y]}, dtype="int64")
 
-    few = met.filter(F.col("n") <= bucket).groupBy("v", "key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInPandas(compare, "a long, b long")
+    few = met.filter(F.col("n") <= bucket).groupBy("key").agg(F.first("f").alias("f"), F.collect_list("fp").alias("fps")).select("f", "fps").mapInPandas(compare, "f long, a long, b long")
     free = [[i for i in range(BITS) if not (m >> i) & 1] for m in kept]
-    wild = [[~sum(1 << i for i in c) for c in combinations(f, radius)] for f in free]
-    wild = [[w - (1 << 64) if w >= 1 << 63 else w + (1 << 64) if w < -(1 << 63) else w for w in ws] for ws in wild]
+    wild = [[~sum(1 << i for i in c) for c in combinations(z, radius)] for z in free]
+    wild = [[w + (1 << 64) if w < -(1 << 63) else w for w in ws] for ws in wild]
     choices = F.element_at(F.array(*[F.array(*[F.lit(w) for w in ws]) for ws in wild]), F.col("v") + 1)
-    dealt = met.filter(F.col("n") > bucket).select("fp", F.explode(choices).alias("w"))
-    alike = dealt.groupBy("w", F.col("fp").bitwiseAND(F.col("w")).alias("rest")).agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
-    many = alike.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).filter("a <> b")
+    dealt = met.filter(F.col("n") > bucket).select("f", "fp", F.explode(choices).alias("w"))
+    alike = dealt.groupBy("f", "w", F.col("fp").bitwiseAND(F.col("w")).alias("rest")).agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
+    many = alike.select(F.col("f").cast("long").alias("f"), F.explode("fps").alias("a"), F.array_min("fps").alias("b")).filter("a <> b")
     return few.unionByName(many)
 
 
@@ -123,7 +138,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, bucket:
     """
     prints = checkpoint(fingerprints(docs, shingle, id_col, text_col))
     lowest = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(link_fingerprints(lowest.select("fp"), radius, bucket))
+    roots = components(link_fingerprints(lowest.select(F.lit(0).alias("f"), "fp"), radius, bucket))
     rooted = lowest.join(roots, lowest["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("fp").alias("own"), "component_id")
