@@ -109,7 +109,9 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "
     chars = chain.agg(F.sum("chars")).first()[0] or 0
     dealt = base.repartition(max(1, ceil(chars / PART_CHARS)), "kid")
     giving = chain.select(F.col("next").alias("kid"), "next_hash", F.col("kid").alias("to"), "half")
-    given = dealt.join(giving, "kid").filter(F.xxhash64("text") == F.col("next_hash")).select("to", F.substring("text", F.lit(1), F.col("half")).alias("prefix"))
+    # whether it is that row is asked after the join: as a join key, the hash would have every text shuffled again
+    prefix = F.when(F.xxhash64("text") == F.col("next_hash"), F.substring("text", F.lit(1), F.col("half")))
+    given = dealt.join(giving, "kid").select("to", prefix.alias("prefix"))
     given = given.groupBy("to").agg(F.max("prefix").alias("prefix")).withColumnRenamed("to", "kid")  # one, even of repeated rows
     half = F.floor(F.col("n_chars") / 2).cast("int")
     own = dealt.join(chain.select("kid", "next"), "kid").join(given, "kid").withColumn("n_chars", F.char_length("text").cast("long"))
