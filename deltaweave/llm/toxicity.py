@@ -56,7 +56,10 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[float, int, float]:
         """Expected severity, most likely grade, and the chance of any toxicity."""
-        known = words_of(text or "") & self.weights.keys()
+        words = words_of(text or "")
+        if not words:
+            return 0.0, 0, 0.0
+        known = words & self.weights.keys()
         over = sigmoid(fsum(self.weights[w] for w in known) - self.thresholds)
         shares = -np.diff(np.concatenate([[1.0], over, [0.0]]))
         return float(over.sum()), int(shares.argmax()), float(over[0])
@@ -69,9 +72,9 @@ def dose_words(rows: list[tuple[int, set[str]]]) -> set[str]:
     return {w for w, n in hot.items() if n >= max(LEAST_DOCS, len(toxic) / 50) and n / len(toxic) >= 8 * (cold[w] + 1) / (len(clean) + 1)}
 
 
-def train(rows: list[tuple[int, set[str]]], clean_share: float = 1.0, alpha: float = 1.0, l1: float = 60.0, l2: float = 0.1) -> Model:
+def train(rows: list[tuple[int, set[str]]], clean_share: float = 1.0, alpha: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> Model:
     """`rows`: (toxic, words), in an order that does not depend on the cluster. `clean_share`: how much more densely toxic
-    documents were sampled than others; the thresholds are moved by its logarithm."""
+    documents were sampled than others; the thresholds are moved by its logarithm. `l1`: for each row."""
     dose = dose_words(rows) if any(y for y, _ in rows) else set()
     doses = [len(w & dose) for y, w in rows if y]
     cuts = np.quantile(doses, np.arange(1, LEVELS) / LEVELS) if doses else np.zeros(LEVELS - 1)
@@ -80,7 +83,7 @@ def train(rows: list[tuple[int, set[str]]], clean_share: float = 1.0, alpha: flo
     index = {w: i for i, w in enumerate(sorted(w for w, n in counts.items() if n >= LEAST_DOCS))}
     idf = np.sqrt([log(len(rows) / counts[w]) for w in index])
     vectors = [np.array(sorted(index[w] for w in ws if w in index), dtype=np.int64) for _, ws in rows]
-    ftrl = Ftrl(len(index), 1, alpha, l1, l2)
+    ftrl = Ftrl(len(index), 1, alpha, l1 * len(rows), l2)
     theta, seen = np.arange(LEVELS, dtype=float) + 1.0, np.full(LEVELS, 1.0)
     for epoch in range(EPOCHS):
         for i in np.random.default_rng(epoch).permutation(len(rows)):
@@ -131,8 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, severity, grade, p_toxic, toxic) for each row.
 
-    severity: the expected grade; toxic: whether p_toxic is at least CUT. A null text counts as empty. Repeated rows and
-    repeated or null ids each keep their own row; other columns are not read.
+    severity: the expected grade; toxic: whether p_toxic is at least CUT. A null text counts as empty, and a text
+    without words has severity 0. Repeated rows and repeated or null ids each keep their own row; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # words of the sample, whatever the input
 
