@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_coding import parts
+from .bpe_coding import parts, release
 from .common import checkpoint
 from .ftrl import Ftrl
 
@@ -120,6 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).filter("text is not null")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in parts(batch):
                 words = [sorted(words_of(t)) for t in part.column("text").to_pylist()]
@@ -127,7 +128,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     # about `sample` rows of ids, whatever the input
     made = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(collect, "doc_id long, toxic int, words array<string>")
-    rows = sorted((r["doc_id"], r["toxic"], r["words"]) for r in checkpoint(made).collect())
+    made = checkpoint(made)
+    # words of fewer documents are never known: they needn't come to the driver
+    each = made.select("doc_id", F.explode("words").alias("word")).distinct()
+    common = each.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_DOCS)
+    held = each.join(common, "word").groupBy("doc_id").agg(F.sort_array(F.collect_list("word")).alias("words"))
+    rows = made.select("doc_id", "toxic").distinct().join(held, "doc_id", "left").collect()
+    rows = sorted((r["doc_id"], r["toxic"], r["words"] or []) for r in rows)
     return train([(y, set(w)) for _, y, w in rows], dense / thin)
 
 
@@ -140,6 +147,7 @@ def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)  # words of the sample, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own = shared.value
         for batch in batches:
             for part in parts(batch):
