@@ -57,7 +57,6 @@ def kept(t: Tables, *views: tuple[str, N.Node]) -> Engine:
 
 
 O, C = N.Source("orders"), N.Source("customer")
-TOTAL = F.sum("o_price").cast("double").alias("total")
 
 
 @query("ivm_filter_project_epochs", f"SELECT o_orderkey, CAST(o_price AS DOUBLE) AS p FROM {LEFT} WHERE o_orderstatus = 'F'")

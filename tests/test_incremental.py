@@ -14,24 +14,24 @@ from deltaweave.plans.engine import CycleError, Engine, delete, update
 A, B = N.Source("a"), N.Source("b")
 SCHEMA = {"a": "k long, v long", "b": "k2 long, w long"}
 NODES = {
-    "filter": N.filter_(A, F.col("v") > 4),
-    "union": N.Union([A, N.project(B, F.col("k2").alias("k"), F.col("w").alias("v"))]),
-    "inner": N.InnerJoin(A, B, [("k", "k2")]),
-    "residual": N.InnerJoin(A, B, [("k", "k2")], F.col("v") < F.col("w")),
-    "left": N.Matching(A, B, [("k", "k2")], "left"),
-    "right": N.Matching(A, B, [("k", "k2")], "right"),
-    "full": N.Matching(A, B, [("k", "k2")], "full"),
-    "semi": N.Matching(A, B, [("k", "k2")], "left_semi"),
-    "anti": N.Matching(A, B, [("k", "k2")], "left_anti"),
-    "not_in": N.NullAwareAnti(A, B, "k", "k2"),
-    "sum_count": N.SumCount(A, ["k"], "v"),
-    "minmax": N.aggregate(A, ["k"], F.min("v").alias("lo"), F.max("v").alias("hi"), F.median("v").alias("m")),
-    "global": N.aggregate(A, [], F.count("*").alias("n")),
-    "distinct": N.SetOp([A], "distinct"),
-    "intersect_all": N.SetOp([A, N.project(B, F.col("k2").alias("k"), F.col("w").alias("v"))], "intersect", all=True),
-    "except": N.SetOp([A, N.project(B, F.col("k2").alias("k"), F.col("w").alias("v"))], "except"),
-    "window": N.window(A, ["k"], rn=F.row_number().over(Window.partitionBy("k").orderBy("v"))),
-    "top_k": N.top_k(A, 2, [F.col("v").desc()], ["k"]),
+    "filter": lambda: N.filter_(A, F.col("v") > 4),
+    "union": lambda: N.Union([A, N.project(B, F.col("k2").alias("k"), F.col("w").alias("v"))]),
+    "inner": lambda: N.InnerJoin(A, B, [("k", "k2")]),
+    "residual": lambda: N.InnerJoin(A, B, [("k", "k2")], F.col("v") < F.col("w")),
+    "left": lambda: N.Matching(A, B, [("k", "k2")], "left"),
+    "right": lambda: N.Matching(A, B, [("k", "k2")], "right"),
+    "full": lambda: N.Matching(A, B, [("k", "k2")], "full"),
+    "semi": lambda: N.Matching(A, B, [("k", "k2")], "left_semi"),
+    "anti": lambda: N.Matching(A, B, [("k", "k2")], "left_anti"),
+    "not_in": lambda: N.NullAwareAnti(A, B, "k", "k2"),
+    "sum_count": lambda: N.SumCount(A, ["k"], "v"),
+    "minmax": lambda: N.aggregate(A, ["k"], F.min("v").alias("lo"), F.max("v").alias("hi"), F.median("v").alias("m")),
+    "global": lambda: N.aggregate(A, [], F.count("*").alias("n")),
+    "distinct": lambda: N.SetOp([A], "distinct"),
+    "intersect_all": lambda: N.SetOp([A, N.project(B, F.col("k2").alias("k"), F.col("w").alias("v"))], "intersect", all=True),
+    "except": lambda: N.SetOp([A, N.project(B, F.col("k2").alias("k"), F.col("w").alias("v"))], "except"),
+    "window": lambda: N.window(A, ["k"], rn=F.row_number().over(Window.partitionBy("k").orderBy("v"))),
+    "top_k": lambda: N.top_k(A, 2, [F.col("v").desc()], ["k"]),
 }
 
 
@@ -55,7 +55,7 @@ def test_maintained_equals_batch(spark, tmp_path, name):
     e = Engine(spark, str(tmp_path))
     for t, s in SCHEMA.items():
         e.create_table(t, s)
-    node = NODES[name]
+    node = NODES[name]()
     e.create_materialized_view("v", node)
     rows = {"a": [], "b": []}
     for epoch in range(3):
