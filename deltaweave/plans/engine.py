@@ -56,8 +56,8 @@ class Engine:
         state = node.state(self._states(node))
         self.schemas[name] = T.StructType([f for f in state.schema if f.name != WEIGHT])
         self.logged[name] = []
-        if self.epoch >= 0:
-            self._write(name, self.epoch, zset.consolidate(state), zset.consolidate(state))
+        state = zset.consolidate(state)  # a global aggregate has a row even before the first epoch
+        self._write(name, self.epoch, state, state)
 
     def refresh(self, name: str) -> None:
         """Compute a maintained view anew."""
