@@ -25,6 +25,11 @@ def codec(data: Callable[[], bytes], key: str, words: int = 250_000) -> Codec:
     return _loaded[key]
 
 
+def release() -> None:
+    """Let go of what this worker's codec remembers: a worker may turn to another operator while it still holds it."""
+    _loaded.clear()
+
+
 def parts(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batch in slices of about PART_BYTES, by whole rows."""
     start, total = 0, 0

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe_coding import parts
+from .bpe_coding import parts, release
 from .common import checkpoint
 from .ftrl import Ftrl, softmax
 
@@ -147,6 +147,7 @@ def fit(learn: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     index = {k: i for i, k in enumerate(languages)}
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         frequency, flags = np.zeros(FEATURES, np.int64), np.zeros(FEATURES, bool)
         schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
         seen = 0
@@ -185,6 +186,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x languages weights, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own = shared.value
         for batch in batches:
             for part in parts(batch):
@@ -214,6 +216,7 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     rows = docs.drop("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own = shared.value
         for batch in batches:
             for part in parts(batch, text_col):

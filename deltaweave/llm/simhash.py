@@ -6,7 +6,7 @@ zero is orthogonal to all of them: under that mask the two fingerprints are equa
 some table; none is left to chance.
 
 Only distinct fingerprints are linked; documents share their fingerprint's group. A bucket of up to BUCKET fingerprints is
-compared within one array and gives at most one link for each member. A larger bucket is split by all choices of r of the
+compared block by block and gives one or two links for each member. A larger bucket is split by all choices of r of the
 bits that its mask leaves out: fingerprints equal but for those r bits are within the radius of each other, at most 2^r of
 them can be, and every linked pair of the bucket is equal but for some choice.
 """
@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_coding import parts
+from .bpe_coding import parts, release
 from .common import checkpoint, id_text
 from .components import components
 
 BITS = 64
-BUCKET = 512
+BUCKET = 8192
+ROWS = 128
 
 
 def fingerprint_many(texts: list[bytes], shingle: int, seed: int = 42) -> np.ndarray:
@@ -60,6 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     """(doc_id, fp) for each row; a text without words, or null, has fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in parts(batch):
                 for at in range(0, part.num_rows, 256):
@@ -76,13 +78,20 @@ def masks(radius: int, bits: int = BITS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in made]
 
 
+def _blocks(x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The differing bits of each member and all others, some rows at a time."""
+    for at in range(0, len(x), ROWS):
+        yield at, np.bitwise_count((x[at : at + ROWS, None] ^ x[None, :]).view(np.uint64))
+
+
 def _within(values: list[int], radius: int) -> tuple[list[int], list[int]]:
     """For the members of one bucket that are linked: each and the least member of its group in the bucket."""
     x = np.sort(np.array(values, dtype=np.int64))
-    near = np.bitwise_count((x[:, None] ^ x[None, :]).view(np.uint64)) <= radius
     group = np.arange(len(x))
     while True:
-        least = np.where(near, group[None, :], len(x)).min(axis=1)
+        least = group.copy()
+        for at, far in _blocks(x):
+            least[at : at + ROWS] = np.where(far <= radius, group[None, :], len(x)).min(axis=1)
         least = least[least]
         if (least == group).all():
             break
@@ -94,12 +103,16 @@ def _within(values: list[int], radius: int) -> tuple[list[int], list[int]]:
 def _direct(values: list[int], radius: int) -> tuple[list[int], list[int]]:
     """Links between members of one bucket that are within the radius themselves: each to its nearest and to its least such member."""
     x = np.sort(np.array(values, dtype=np.int64))
-    far = np.bitwise_count((x[:, None] ^ x[None, :]).view(np.uint64)).astype(np.int64)
-    np.fill_diagonal(far, BITS + 1)
-    near = far <= radius
-    some = np.flatnonzero(near.any(axis=1))
-    ends = np.concatenate([near[some].argmax(axis=1), far[some].argmin(axis=1)])
-    return x[np.concatenate([some, some])].tolist(), x[ends].tolist()
+    ends: list[list[int]] = [[], []]
+    for at, far in _blocks(x):
+        rows = np.arange(len(far))
+        far[rows, at + rows] = 255  # not to itself
+        near = far <= radius
+        some = np.flatnonzero(near.any(axis=1))
+        for to in (near[some].argmax(axis=1), far[some].argmin(axis=1)):
+            ends[0] += x[at + some].tolist()
+            ends[1] += x[to].tolist()
+    return ends[0], ends[1]
 
 
 def link_fingerprints(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET, direct: bool = False) -> DataFrame:
