@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchors import segments
-from .bpe_coding import parts
+from .bpe_coding import parts, release
 from .common import checkpoint
 from .suffix_index import SuffixIndex
 
@@ -51,6 +51,7 @@ def find_segments(keyed: DataFrame, length: int) -> DataFrame:
     """(kid, tk, lo, hi, at, h, g) with arrays over a text's segments; texts without a segment give no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in parts(batch):
                 texts = part.column("text").to_pylist()
@@ -68,6 +69,7 @@ def index_matches(cut: DataFrame, length: int, shares: int) -> DataFrame:
     """(kid, tk, start, end): the bytes that repeating strings cover, of segments (kid, tk, lo, at, h, bytes) that share anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         index, kept = SuffixIndex(length), []
         for batch in batches:
             if batch.num_rows:
@@ -95,7 +97,8 @@ def repeat_spans(keyed: DataFrame, length: int = LENGTH, hot: int = HOT) -> Data
     """(kid, tk, spans): for each text with repeating strings, the byte ranges (start, end) that they cover, not yet merged."""
     found = checkpoint(find_segments(keyed, length))
     all_ = found.select("kid", "tk", F.explode(F.arrays_zip("lo", "hi", "at", "h", "g")).alias("s")).select("kid", "tk", "s.lo", "s.hi", "s.at", "s.h", "s.g")
-    shared = all_.groupBy("h").agg(F.count("*").alias("n"), F.min("g").alias("g0"), F.max("g").alias("g1")).filter("n > 1").select("h", (F.col("g0") != F.col("g1")).alias("mixed"))
+    # a table of its own, so that both sides of the next join come straight from a shuffle and a hot anchor's rows can be split
+    shared = checkpoint(all_.groupBy("h").agg(F.count("*").alias("n"), F.min("g").alias("g0"), F.max("g").alias("g1")).filter("n > 1").select("h", (F.col("g0") != F.col("g1")).alias("mixed")))
     known = all_.join(shared, "h")
     # equal segments under anchors that have others: how many, and which of them stands for all
     own = F.xxhash64("kid", "tk", "lo")
@@ -151,6 +154,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     spans = repeat_spans(keyed, length, hot)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             for part in parts(batch):
@@ -183,6 +187,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     row_type = joined.schema["row"].dataType
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in parts(batch):
                 texts = part.column("text").to_pylist()
