@@ -95,6 +95,16 @@ def test_one_of_each_near_copy(spark):
     assert one_of_each(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_finds_pairs_of_every_kind_of_edit(spark):
+    """Just over 0.8: words exchanged here and there, a new block behind, a block replaced; all of different words."""
+    texts = []
+    for k in range(12):
+        base = [f"d{k}w{i}" for i in range(400)]
+        texts += [base, [f"e{k}" if i in (60, 140, 220, 300) else w for i, w in enumerate(base)], base + [f"n{k}x{i}" for i in range(90)], base[:360] + [f"r{k}x{i}" for i in range(40)]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in one_of_each(docs).collect()) == list(range(0, 48, 4))
+
+
 def random_texts(rng, length):
     letters = rng.choice([b"ab", b"abcdefgh \0\xff", bytes(range(256))])
     base = [bytes(rng.choice(letters) for _ in range(rng.randrange(5 * length))) for _ in range(6)]
