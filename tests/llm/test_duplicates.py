@@ -105,6 +105,28 @@ def test_one_of_each_finds_pairs_of_every_kind_of_edit(spark):
     assert sorted(r["doc_id"] for r in one_of_each(docs).collect()) == list(range(0, 48, 4))
 
 
+def test_one_of_each_is_the_closure_of_all_pairs(spark):
+    """Groups in which the least text is like none of the others, and chains of edits."""
+    rng = random.Random(12)
+    texts = []
+    for k in range(10):
+        base = [f"d{k}w{i}" for i in range(200)]
+        blocks = [base[i : i + 10] for i in range(0, 200, 10)]
+        texts.append([w for b in rng.sample(blocks, 20) for w in b])  # the same words in another order
+        for _ in range(8):
+            base = list(base)
+            at = rng.randrange(200)
+            base[at : at + rng.randrange(1, 18)] = [f"e{k}x{rng.randrange(9)}"]
+            texts.append(base)
+    rng.shuffle(texts)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    n = range(len(texts))
+    groups = closure(n, [(i, j) for i in n for j in n if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert 10 < len(set(groups.values())) < 80
+    assert sorted(r["doc_id"] for r in one_of_each(docs).collect()) == sorted(set(groups.values()))
+
+
 def random_texts(rng, length):
     letters = rng.choice([b"ab", b"abcdefgh \0\xff", bytes(range(256))])
     base = [bytes(rng.choice(letters) for _ in range(rng.randrange(5 * length))) for _ in range(6)]
