@@ -12,6 +12,7 @@ import numpy as np
 K = 64
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)  # odd numbers that spread the bits
 _POSITION = 24  # bits of a position in a buffer
+PIECE = 1 << 20  # starts in one piece of a text; pieces overlap, so a text may have any length
 
 
 def join_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -41,7 +42,25 @@ def hashes(buffer: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segments(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
-    """For each segment: doc (index of the text), lo, hi (starts within the text), at (the anchor), h (of the anchor), g (of all its bytes and the anchor's place in them)."""
+    """For each segment: doc (index of the text), lo, hi (starts within the text), at (the anchor), h (of the anchor), g (of all its bytes and the anchor's place in them).
+
+    A text of over PIECE starts is cut into pieces that overlap by `length` - 1 bytes: each string is in one piece, and its anchor
+    is the same there. A segment across a border is two, with the same anchor and other starts, so neither repeats the other.
+    """
+    pieces = [(i, at, t[at : at + PIECE + length - 1]) for i, t in enumerate(texts) for at in range(0, max(1, len(t) - length + 1), PIECE)]
+    found, start, total = [], 0, 0
+    for k, (_, _, piece) in enumerate(pieces):
+        total += len(piece)
+        if total >= PIECE or k == len(pieces) - 1:
+            some = _segments([p for _, _, p in pieces[start : k + 1]], length)
+            doc, shift = (np.array([p[c] for p in pieces[start : k + 1]], np.int64)[some["doc"]] for c in (0, 1))
+            found.append({**some, "doc": doc, **{c: some[c] + shift for c in ("lo", "hi", "at")}})
+            start, total = k + 1, 0
+    return {c: np.concatenate([x[c] for x in found]) if found else np.zeros(0, np.int64) for c in ("doc", "lo", "hi", "at", "h", "g")}
+
+
+def _segments(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
+    """The same for texts of together less than 2 ** _POSITION bytes."""
     none = {c: np.zeros(0, np.int64) for c in ("doc", "lo", "hi", "at", "h", "g")}
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     some = np.flatnonzero(sizes >= length)

@@ -178,6 +178,18 @@ def test_remove_repeats(spark, hot):
     assert sorted(map(str, map(tuple, rows.collect()))) == sorted(map(str, wanted))
 
 
+def test_texts_may_have_any_length(spark, monkeypatch):
+    """One of 17 MiB, with repeats across a border of its pieces and at its end; and many borders, against brute force."""
+    long = random.Random(8).randbytes(17 << 19).hex()
+    cuts = [((1 << 20) - 300, (1 << 20) + 300), (len(long) - 500, len(long))]
+    docs = spark.createDataFrame([(0, long)] + [(i + 1, long[a:b]) for i, (a, b) in enumerate(cuts)], "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in remove_repeats(docs).select("doc_id", "spans").collect()}
+    assert got == {0: cuts, 1: [(0, 600)], 2: [(0, 500)]}
+    monkeypatch.setattr("deltaweave.llm.anchors.PIECE", 50)
+    for seed in range(5):
+        test_suffix_index_finds_every_repeat(seed)
+
+
 def test_drop_repeats_keeps_rows_and_letters(spark):
     passage = "é" * 300
     docs = spark.createDataFrame([(1, "a" + passage, "x"), (2, "b" + passage, "y"), (3, None, "z"), (4, "", "w")], "doc_id long, text string, row string")
