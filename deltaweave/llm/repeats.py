@@ -11,7 +11,8 @@ which are dealt out evenly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
@@ -26,6 +27,8 @@ from .common import checkpoint
 from .suffix_index import SuffixIndex
 
 LENGTH = 400
+WORDS = 51  # a passage has over 50 words
+CODE = 8
 SHARE = 30_000  # segments in one index
 HOT = 50_000
 NULL_ID = -(1 << 63)
@@ -176,23 +179,57 @@ def repeat_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def drop_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """`docs` with every repeating string taken out of its text, by whole characters. All rows stay; a null text stays null."""
+def _rewritten(docs: DataFrame, spans: DataFrame, cut: Callable[[bytes, list[tuple[int, int]]], bytes], id_col: str, text_col: str) -> DataFrame:
+    """`docs` with `cut` applied to the texts that have spans. All rows stay; a null text stays null."""
     names = docs.columns
-    keyed = _keyed(docs, id_col, text_col)
-    spans = repeat_spans(keyed, length, hot)
     whole = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("kid"), F.xxhash64(whole).alias("tk"))
     joined = rows.join(spans, ["kid", "tk"], "left").select("row", F.col(f"row.`{text_col}`").cast("string").alias("text"), "spans")
     row_type = joined.schema["row"].dataType
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
             for part in parts(batch):
                 texts = part.column("text").to_pylist()
-                kept = [t if not s else without(t.encode(), merged(s), whole_letters=True).decode() for t, s in zip(texts, part.column("spans").to_pylist(), strict=True)]
+                kept = [t if not s else cut(t.encode(), merged(s)).decode() for t, s in zip(texts, part.column("spans").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(kept, pa.string())], names=["row", "kept"])
 
-    done = joined.mapInArrow(cut, T.StructType().add("row", row_type).add("kept", "string"))
+    done = joined.mapInArrow(run, T.StructType().add("row", row_type).add("kept", "string"))
     return done.select(*[F.col("kept").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names])
+
+
+def drop_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """`docs` with every repeating string taken out of its text, by whole characters. All rows stay; a null text stays null."""
+    spans = repeat_spans(_keyed(docs, id_col, text_col), length, hot)
+    return _rewritten(docs, spans, lambda text, ranges: without(text, ranges, whole_letters=True), id_col, text_col)
+
+
+def word_codes(text: bytes) -> bytes:
+    """CODE bytes for each word between blanks, its hash: passages are then strings of a fixed length, whatever their words' lengths."""
+    import xxhash
+
+    words = text.split()
+    known = {w: xxhash.xxh64_digest(w, 42) for w in set(words)}
+    return b"".join([known[w] for w in words])
+
+
+def without_words(text: bytes, ranges: list[tuple[int, int]], least: int) -> bytes:
+    """What is left of a text without the words of these ranges of its codes; a range of fewer than `least` words stays."""
+    places = [m.span() for m in re.finditer(rb"[^\x09-\x0d ]+", text)]
+    runs = [(-(-start // CODE), end // CODE) for start, end in ranges]
+    return without(text, [(places[a][0], places[b - 1][1]) for a, b in runs if b - a >= least])
+
+
+def drop_passages(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """`docs` with every passage of at least `words` words that repeats anywhere taken out of its text; blanks don't count. All rows stay."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            for part in parts(batch):
+                codes = [word_codes(t) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("kid"), part.column("tk"), pa.array(codes, pa.binary())], names=["kid", "tk", "text"])
+
+    coded = _keyed(docs, id_col, text_col).mapInArrow(code, "kid long, tk long, text binary")
+    return _rewritten(docs, repeat_spans(coded, CODE * words, hot), lambda text, ranges: without_words(text, ranges, words), id_col, text_col)

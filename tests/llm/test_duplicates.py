@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from deltaweave.llm.anchors import segments
 from deltaweave.llm.components import components
 from deltaweave.llm.near_copies import one_of_each
-from deltaweave.llm.repeats import drop_repeats, merged, remove_repeats, repeat_digests, without
+from deltaweave.llm.repeats import drop_passages, drop_repeats, merged, remove_repeats, repeat_digests, without
 from deltaweave.llm.simhash import fingerprint_components, link_fingerprints, masks, near_duplicates
 from deltaweave.llm.suffix_index import SuffixIndex
 
@@ -199,5 +199,34 @@ def test_drop_repeats_keeps_rows_and_letters(spark):
     assert remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_passages_of_over_fifty_words_go(spark):
+    """However short their words, at other blanks too; runs of fifty words stay. Against brute force over windows of words."""
+    rng = random.Random(6)
+    words = [*"abcdefgh", "é", "word", "x" * 300]
+    sources = [[rng.choice(words) + str(rng.randrange(9)) * (k % 2) for _ in range(n)] for k, n in enumerate([51, 50, 52, 70, 130])]
+    texts = [["a"] * 60, ["a"] * 50]
+    for i in range(12):
+        own = [f"own{i}x{k}" for k in range(30)]
+        texts.append(own[:15] + rng.choice(sources)[rng.randrange(3) :] + own[15:] + sources[i % 5])
+    seen = Counter(tuple(t[i : i + 51]) for t in texts for i in range(len(t) - 50))
+    wanted = []
+    for t in texts:
+        gone = {k for i in range(len(t) - 50) if seen[tuple(t[i : i + 51])] > 1 for k in range(i, i + 51)}
+        wanted.append([w for k, w in enumerate(t) if k not in gone])
+    assert any(len(t) > len(w) for t, w in zip(texts, wanted, strict=True)) and any(t == w for t, w in zip(texts, wanted, strict=True))
+    docs = spark.createDataFrame([(i, (" ", "\n ")[i % 2].join(t), "x") for i, t in enumerate(texts)] + [(99, None, "y")], "doc_id long, text string, row string")
+    got = {r["doc_id"]: r["text"] for r in drop_passages(docs).collect()}
+    assert got.pop(99) is None
+    assert [got[i].split() for i in range(len(texts))] == wanted
+
+
+def test_the_pipeline_drops_short_passages(spark):
+    import corpus_pipeline
+
+    passage = " ".join(f"w{i}" for i in range(51))
+    docs = spark.createDataFrame([(1, "one " + passage + " end", 1), (2, passage, 1)], "doc_id long, text string, n_chars long")
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_strings(spark, docs, "").collect()} == {1: "one  end", 2: ""}
+
+
 def test_numpy_widths():
     assert np.bitwise_count(np.array([-1], np.int64).view(np.uint64))[0] == 64
