@@ -1,13 +1,15 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions alone.
 
-A document's terms are its lower-cased words between blanks, hashed to one of TERMS features; a feature's weight is its
-number of occurrences. For sample k, feature f has r and c drawn from a gamma(2, 1) and b drawn uniformly, all from hashes
-of (f, k). A weight w gives t = floor(ln w / r + b) and ln a = ln c - r * (t - b + 1), and the sample is the (f, t) of the
-least a. Two documents share a sample with a chance equal to their generalised Jaccard similarity, the sum of the lesser
+A document's terms are its lower-cased words between blanks, told apart by 64-bit hashes; a term's weight is its number of
+occurrences. For sample k, term f has r and c drawn from a gamma(2, 1) and b drawn uniformly, all from hashes of (f, k). A
+weight w gives t = floor(ln w / r + b) and ln a = ln c - r * (t - b + 1), and the sample is the (f, t) of the least a, kept as
+24 bits. Two documents share a sample with a chance equal to their generalised Jaccard similarity, the sum of the lesser
 weights over the sum of the greater ones.
 
-The draws are a table of TERMS + 1 rows whatever the input, so it may be broadcast. All rows of a document are made, counted
-and reduced in the partition that holds its text: words are never shuffled.
+A gamma(2, 1) is the sum of two exponentials, and the sum of two uniforms is uniform again without its whole part. So the
+draws of a term are sums of those of two halves of its hash, and 2 ^ 26 combinations come from two tables of HALF rows,
+whatever the input, which may be broadcast. All rows of a document are made, counted and reduced in the partition that
+holds its text: words are never shuffled.
 """
 
 from __future__ import annotations
@@ -19,51 +21,56 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-TERMS = 8192
+_HALF_BITS = 13
+HALF = 1 << _HALF_BITS
 SAMPLES = 64
 BLANKS = " \t\n\x0b\f\r"
 NULL_ID = -(1 << 63)
 PART_CHARS = 3_000_000  # characters of text in one partition
-_T_BITS = 10
+_ID_BITS = 24  # of a sample, and how many hex digits it has is in fingerprint()
+_SPREAD = 0x9E3779  # odd, so that a term's t give different samples
 
 
-def draws(spark: SparkSession, samples: int = SAMPLES) -> DataFrame:
-    """(term, lc, r, b, q): for each feature, arrays over the samples of ln c, r, b and 1/r."""
+def draws(spark: SparkSession, side: int, samples: int = SAMPLES) -> DataFrame:
+    """(half<side>, c<side>, r<side>, b<side>): for each half of a hash, arrays over the samples of exponentials for c and r and uniforms for b."""
 
     def uniform(k: Column, salt: int) -> Column:
-        return (F.shiftrightunsigned(F.xxhash64("id", k, F.lit(salt)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+        return (F.shiftrightunsigned(F.xxhash64("id", k, F.lit(2 * salt + side)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
 
     def over(make) -> Column:
         return F.transform(F.sequence(F.lit(1), F.lit(samples)), make)
 
-    table = spark.range(TERMS + 1).select(
-        F.col("id").cast("int").alias("term"),
-        over(lambda k: F.ln(-F.ln(uniform(k, 1) * uniform(k, 2)))).alias("lc"),
-        over(lambda k: -F.ln(uniform(k, 3) * uniform(k, 4))).alias("r"),
-        over(lambda k: uniform(k, 5)).alias("b"),
+    return spark.range(HALF).select(
+        F.col("id").alias(f"half{side}"),
+        over(lambda k: -F.ln(uniform(k, 1))).alias(f"c{side}"),
+        over(lambda k: -F.ln(uniform(k, 2))).alias(f"r{side}"),
+        over(lambda k: uniform(k, 3)).alias(f"b{side}"),
     )
-    return table.withColumn("q", F.transform("r", lambda x: 1 / x))
 
 
 def sketch(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
     """(keys, sketch): the samples of each text as integers. `keys` are unique for each row, and rows with equal keys[0] are in one partition.
 
-    A text without words has one feature of its own, so such texts have equal sketches.
+    A text without words has one term of its own, the empty word, so such texts have equal sketches.
     """
     words = texts.select(*keys, F.explode(F.split(F.btrim(F.lower(text), F.lit(BLANKS)), r"\s+")).alias("word"))
-    terms = words.select(*keys, F.when(F.col("word") == "", F.lit(TERMS)).otherwise(F.pmod(F.xxhash64("word"), F.lit(TERMS)).cast("int")).alias("term"))
-    counted = terms.groupBy(*keys, "term").agg(F.count("*").alias("w"))
-    drawn = counted.select(*keys, "term", F.ln(F.col("w").cast("double")).alias("lw")).join(F.broadcast(draws(texts.sparkSession, samples)), "term")
+    counted = words.select(*keys, F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("w"))
+    halves = [F.shiftrightunsigned("term", side * _HALF_BITS).bitwiseAND(F.lit(HALF - 1)).alias(f"half{side}") for side in (0, 1)]
+    drawn = counted.select(*keys, *halves, F.shiftrightunsigned("term", 2 * _HALF_BITS).alias("own"), F.ln(F.col("w").cast("double")).alias("lw"))
+    for side in (0, 1):
+        drawn = drawn.join(F.broadcast(draws(texts.sparkSession, side, samples)), f"half{side}")
+    low = F.lit((1 << _ID_BITS) - 1)
 
     def sample(k: int) -> Column:
-        t = F.floor(F.col("lw") * F.col("q")[k] + F.col("b")[k])
-        value = F.col("lc")[k] - F.col("r")[k] * (t - F.col("b")[k] + 1)
+        c, r, b = (F.col(f"{x}0")[k] + F.col(f"{x}1")[k] for x in "crb")
+        b = b - F.floor(b)
+        t = F.floor(F.col("lw") / r + b)
+        value = F.ln(c) - r * (t - b + 1)
         # the order of the values in the upper bits, which sample it is in the lower ones
-        order = F.shiftleft(((value + 192) * float(1 << 30)).cast("long"), 13 + _T_BITS + 1)
-        return F.min(order.bitwiseOR(F.shiftleft(F.col("term").cast("long"), _T_BITS)).bitwiseOR(t.cast("long").bitwiseAND(F.lit((1 << _T_BITS) - 1)))).alias(f"s{k}")
+        order = F.shiftleft(((value + 192) * float(1 << 30)).cast("long"), _ID_BITS)
+        return F.min(order.bitwiseOR((F.col("own") + t * F.lit(_SPREAD)).bitwiseAND(low))).alias(f"s{k}")
 
     least = drawn.groupBy(*keys).agg(*[sample(k) for k in range(samples)])
-    low = F.lit((1 << (13 + _T_BITS + 1)) - 1)
     return least.select(*keys, F.array(*[F.col(f"s{k}").bitwiseAND(low).cast("int") for k in range(samples)]).alias("sketch"))
 
 

@@ -151,6 +151,17 @@ def test_weighted_fingerprints(spark):
     assert alone["near_next"] == 1.0
 
 
+def test_long_texts_of_other_words_are_unlike(spark):
+    """However many different words there are, the share of equal samples is the similarity of the words themselves."""
+    n = 20_000
+    own, other = [" ".join(f"{x}{i}" for i in range(n)) for x in "ab"]
+    half = " ".join([f"a{i}" for i in range(n // 2)] + [f"c{i} c{i} c{i}" for i in range(n // 2)])
+    docs = spark.createDataFrame([(0, own), (1, other), (2, half)], "id long, text string")
+    s = {r["id"]: np.array(r["sketch"]) for r in sketch(docs, ["id"], "text", 256).collect()}
+    assert (s[0] == s[1]).mean() == 0
+    assert abs((s[0] == s[2]).mean() - 1 / 5) < 0.09
+
+
 def test_collisions_follow_the_weights(spark):
     a, b = "x " * 8 + "y " * 2 + "z", "x " * 4 + "y " * 6 + "q"
     df = spark.createDataFrame([(0, a), (1, b)], "k long, text string").repartition(1, "k")
