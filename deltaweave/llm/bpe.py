@@ -14,11 +14,21 @@ import unicodedata
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 PAD = 65535  # no symbol
 NONE = np.int64(1) << 60  # no pair
 ROW_SYMBOLS = 65  # up to so many bytes, a word is a row of a shared array
 SLOTS = 18  # log2 of the pair table's size
+#: Ranges of characters whose class no Unicode version since 4.0 has changed and that aren't white space but for the ASCII blanks.
+STABLE = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in (
+    (0x0, 0x1B), (0x20, 0x84), (0x86, 0x9F), (0xA1, 0x220), (0x410, 0x481), (0x5D0, 0x5EA), (0x621, 0x63A), (0x641, 0x64A), (0x905, 0x939), (0x2010, 0x2027),
+    (0x2030, 0x2052), (0x20A0, 0x20B1), (0x3001, 0x3020), (0x3041, 0x3094), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0xFF01, 0xFF5E),
+))
+#: Fixed: how the vocabulary that drops blanks splits text before merging, but for letters, which stay together.
+SHORT_FORMS = "'s|'t|'re|'ve|'m|'ll|'d"
+MARKS = r"\pN|[^\x09-\x0d\x20\pL\pN]+"
 
 
 def byte_letters() -> list[str]:
@@ -222,24 +232,22 @@ class Codec:
         self.split = regex.compile(patterns[0] if patterns else r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.merges.special, key=len, reverse=True))) + ")") if self.merges.special else None
         self.blank_run = regex.compile(r" (?:\s|$)").search
-        self.separator = regex.compile("[\x1c-\x1f]").search  # white space to Python, not to the library
         self.blanks = regex.compile(r"[\t-\r\x20\x85\p{Z}]+")
         self.words, self.tokens = Memory(words), Memory(words)
 
-    def _prepared(self, text: str) -> str:
-        if not self.by_word:
-            return text
+    @staticmethod
+    def _prepared(text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # the library lower-cases letter by letter
         return text.lower()
 
     def _split(self, word: str) -> list[str]:
-        """The tokens before merging of a word; a word of letters, or one with a mark behind, needs no pattern."""
+        """The tokens before merging of a word and the blank before it; a word of letters, or one with a mark behind, needs no pattern."""
         if word.isalpha():
-            return [word if self.by_word else " " + word]
+            return [" " + word]
         if word[-1:] in ".,;:!?" and word[:-1].isalpha():
-            return [word[:-1] if self.by_word else " " + word[:-1], word[-1]]
-        return self.split(word if self.by_word else " " + word)
+            return [" " + word[:-1], word[-1]]
+        return self.split(" " + word)
 
     def _tokens(self, pieces: dict[str, list[str]]) -> dict[str, bytes]:
         """Ids of each piece, given its tokens before merging."""
@@ -253,21 +261,21 @@ class Codec:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.by_word:
+            return self._by_words(texts)
         lists: list[list[str] | None] = []
         odd: dict[int, list[str]] = {}
         heads: dict[str, list[str]] = {}
         for i, text in enumerate(texts):
             parts = self.special.split(text) if self.special and "<|" in text else [text]
-            if len(parts) > 1 or self.by_word and self.separator(text) or not self.by_word and self.blank_run(text):
+            if len(parts) > 1 or self.blank_run(text):
                 odd[i] = parts
                 lists.append(None)
-            elif self.by_word:
-                lists.append(self._prepared(text).split())
             else:
                 head, *rest = text.split(" ")
                 heads[head] = self.split(head)
                 lists.append([head, *rest])
-        words = [x if self.by_word else x[1:] for x in lists if x]
+        words = [x[1:] for x in lists if x]
         missing = self.words.missing(set().union(*words) if words else set())
         known = self.words.young
         known.update(self._tokens({w: self._split(w) for w in missing}))
@@ -276,8 +284,8 @@ class Codec:
         for i, words in enumerate(lists):
             if words is None:
                 out.append(self._odd(odd[i]))
-            elif self.by_word or not words:
-                out.append(b"".join(map(known.__getitem__, words)))
+            elif not words:
+                out.append(b"")
             else:
                 out.append(first[words[0]] + b"".join(map(known.__getitem__, words[1:])))
         for w in missing:
@@ -285,6 +293,35 @@ class Codec:
                 del known[w]
         return out
 
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        """For vocabularies that drop blanks: tokens before merging don't depend on their neighbours, so all texts go as one column.
+
+        Blanks are put around all that isn't a letter, and the column is split at them. Texts with characters that the two
+        pattern engines might class differently, or with special strings, go one by one.
+        """
+        column = pa.array([self._prepared(x) for x in texts], pa.large_string())
+        odd = pc.or_(pc.match_substring(column, "<|"), pc.match_substring_regex(column, f"[^{STABLE}]"))
+        column = pc.if_else(odd, "", column)
+        spaced = pc.replace_substring_regex(column, MARKS, r" \0 ")
+        if (quoted := pc.match_substring(column, "'")).true_count:
+            spaced = pc.replace_with_mask(spaced, quoted, pc.replace_substring_regex(column.filter(quoted), f"{SHORT_FORMS}|{MARKS}", r" \0 "))
+        lists = pc.ascii_split_whitespace(spaced)
+        coded = lists.values.dictionary_encode()
+        tokens = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        missing = list(self.words.missing(set(tokens)))
+        known = self.words.young
+        known.update(zip(missing, self.merges.encode(missing), strict=True))
+        ids = pa.array(list(map(known.__getitem__, tokens)), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[lists.offsets.to_numpy()].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        out = [bytes(data[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self._odd(self.special.split(texts[i]) if self.special else [texts[i]])
+        for w in missing:
+            if len(w) > 64:
+                del known[w]
+        return out
+
     def _odd(self, parts: list[str]) -> bytes:
         """A text with special strings (every second part) or runs of blanks."""
         out = []
@@ -292,7 +329,7 @@ class Codec:
             if k % 2:
                 out.append(self.merges.special[part].to_bytes(4, "little"))
             elif part:
-                text = self._prepared(self.blanks.sub(" ", part) if self.by_word else part)
+                text = self._prepared(self.blanks.sub(" ", part)) if self.by_word else part
                 out.append(self._tokens({"": self.split(text)})[""])
         return b"".join(out)
 
