@@ -5,8 +5,9 @@ in decreasing length. Of the open sequences that can take a piece under every ca
 weighted norm of what would be left ("norm"), or with the greatest weighted dot product of the piece's needs and what the
 sequence already holds ("dot"); with none, a new sequence opens.
 
-Each task packs its share of the pieces. Sequences that stay open after that are dissolved, and their pieces are packed
-again in fewer, larger shares, until one share is left. Only what does not fill a sequence is ever moved twice.
+Each task packs its share of the pieces, SHARE at most. Sequences that stay open after that are dissolved, and their pieces are
+packed again, in fewer shares, until one share is left or too few have found a place (as where all pieces are just over half a
+sequence). So all rounds together pack at most four times the pieces, and no task more than its share.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from .common import broadcast_file, checkpoint, id_text, vocabulary_path
 
 SHARE = 20_000  # pieces that one task packs
 CLOSED = 0.99  # of the tokens: a sequence filled so far is not packed again
+LESS = 0.75  # another round must have at most this share of the pieces to pack, or what is open stays as it is
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -117,21 +119,21 @@ def pack(pieces: DataFrame, tokens: int = 4096, documents: int | None = None, at
 
         return run
 
-    def split(df: DataFrame, n: int, round_: int) -> DataFrame:
-        dealt = df.repartition(n, "doc_id", "piece") if n > 1 else df.coalesce(1)
-        return checkpoint(dealt.mapInPandas(share(round_), schema))
-
     rest = checkpoint(pieces)
-    shares = ceil(rest.count() / SHARE)
+    left = rest.count()
     done, round_ = None, 0
     while True:
-        packed = split(rest, max(1, shares), round_)
-        if shares <= 1:
-            return (packed if done is None else done.unionByName(packed)).drop("_open")
-        closed = packed.filter(~F.col("_open"))
+        shares = max(1, ceil(left / SHARE))
+        # by turns, as a repeated or null id may hold any part of the rows; the input is checkpointed, so a task that runs again gets the same rows
+        packed = checkpoint(rest.repartition(shares).mapInPandas(share(round_), schema))
+        open_ = packed.filter("_open").count() if shares > 1 else 0
+        if open_ > LESS * left:
+            open_ = 0
+        closed = packed if not open_ else packed.filter(~F.col("_open"))
         done = closed if done is None else done.unionByName(closed)
-        rest = packed.filter("_open").drop("sequence_id", "offset", "_open")
-        shares, round_ = min(ceil(rest.count() / SHARE), shares - 1), round_ + 1
+        if not open_:
+            return done.drop("_open")
+        rest, left, round_ = packed.filter("_open").drop("sequence_id", "offset", "_open"), open_, round_ + 1
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -115,3 +115,22 @@ def test_rest_is_packed_again_and_joined(spark, monkeypatch):
     with pytest.raises(Exception, match="over a capacity"):
         pack(cut_pieces(docs, tokens=64), tokens=32).count()
     assert packed_documents(docs.limit(0)).count() == 0
+
+
+def test_pieces_over_half_end_after_one_round(spark, monkeypatch):
+    import deltaweave.llm.packing as P
+
+    monkeypatch.setattr(P, "SHARE", 20)
+    seen = []
+    monkeypatch.setattr(P, "checkpoint", lambda df, own=P.checkpoint: seen.append(1) or own(df))
+    rows = [(None if i % 3 else i, 0, 0, 40, i) for i in range(200)]
+    packed = pack(spark.createDataFrame(rows, P.PIECES), tokens=64).collect()
+    assert len(packed) == 200 == len({r["sequence_id"] for r in packed}) and len(seen) == 2
+
+
+def test_texts_as_a_column_equal_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, ref, rng = Codec(open(path).read()), library("word_bpe_49k.json"), random.Random(7)
+    letters = ["a", "B", " ", " ", "\x1c", "\x85", "\u0301", "é", "Σ", "İ", "ß", "<|endoftext|>", "<|", "'S", "'re", "1", "२", "\n", "\t", "中", "!", "\u2009", "\u3000", "\x00", "\x0b", "ﬁ", "…", "ж", "한", "\ufeff"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(14))) for _ in range(5000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [ref.encode(t, add_special_tokens=False).ids for t in texts]
