@@ -25,24 +25,29 @@ def join_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def hashes(buffer: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the K-byte and the `length`-byte string at each place where one fits."""
-    n = len(buffer)
-    h = np.ndarray((n - 7,), "<u8", buffer.data, strides=(1,)).astype(np.uint64)
+def hashes(buffer: np.ndarray) -> np.ndarray:
+    """Hashes of the K-byte string at each place where one fits."""
+    h = np.ndarray((len(buffer) - 7,), "<u8", buffer.data, strides=(1,)).astype(np.uint64)
     h = join_hashes(h, h >> np.uint64(7))
-    size, short = 8, None
-    while 2 * size <= length:
+    size = 8
+    while size < K:
         h = join_hashes(h[:-size], h[size:])
         size *= 2
-        if size == K:
-            short = h
-    long = h if size == length else join_hashes(h[: n - length + 1], h[length - size : n - size + 1])
-    assert short is not None
-    return short, long
+    return h
+
+
+def digests(buffer: memoryview, starts: list[int], ends: list[int], places: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of a 128-bit digest of each range's bytes and the anchor's place in it."""
+    import xxhash
+
+    digest = xxhash.xxh3_128_digest
+    joined = b"".join([digest(buffer[a:b], k) for a, b, k in zip(starts, ends, places, strict=True)])
+    both = np.frombuffer(joined, "<i8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def segments(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
-    """For each segment: doc (index of the text), lo, hi (starts within the text), at (the anchor), h (of the anchor), g (of all its bytes and the anchor's place in them).
+    """For each segment: doc (index of the text), lo, hi (starts within the text), at (the anchor), h (of the anchor), g and g2 (a digest of all its bytes and the anchor's place in them).
 
     A text of over PIECE starts is cut into pieces that overlap by `length` - 1 bytes: each string is in one piece, and its anchor
     is the same there. A segment across a border is two, with the same anchor and other starts, so neither repeats the other.
@@ -56,12 +61,12 @@ def segments(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
             doc, shift = (np.array([p[c] for p in pieces[start : k + 1]], np.int64)[some["doc"]] for c in (0, 1))
             found.append({**some, "doc": doc, **{c: some[c] + shift for c in ("lo", "hi", "at")}})
             start, total = k + 1, 0
-    return {c: np.concatenate([x[c] for x in found]) if found else np.zeros(0, np.int64) for c in ("doc", "lo", "hi", "at", "h", "g")}
+    return {c: np.concatenate([x[c] for x in found]) if found else np.zeros(0, np.int64) for c in ("doc", "lo", "hi", "at", "h", "g", "g2")}
 
 
 def _segments(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
     """The same for texts of together less than 2 ** _POSITION bytes."""
-    none = {c: np.zeros(0, np.int64) for c in ("doc", "lo", "hi", "at", "h", "g")}
+    none = {c: np.zeros(0, np.int64) for c in ("doc", "lo", "hi", "at", "h", "g", "g2")}
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     some = np.flatnonzero(sizes >= length)
     if not some.size:
@@ -70,7 +75,7 @@ def _segments(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
     assert len(buffer) < 1 << _POSITION
     ends = np.cumsum(sizes[some])
     starts = ends - sizes[some]
-    short, whole = hashes(buffer, length)
+    short = hashes(buffer)
     width = length - K + 1
     low = (short >> np.uint64(_POSITION)) << np.uint64(_POSITION)
     low |= np.arange(len(low), dtype=np.uint64)
@@ -93,6 +98,5 @@ def _segments(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
     doc = np.searchsorted(starts, lo, side="right") - 1
     hi = np.minimum(np.concatenate([lo[1:] - 1, [len(anchor) - 1]]), last[doc])
     at = anchor[lo]
-    shape = ((hi - lo).astype(np.uint64) << np.uint64(32)) | (at - lo).astype(np.uint64)
-    g = join_hashes(join_hashes(whole[lo], whole[hi]), shape)
-    return {"doc": some[doc], "lo": lo - starts[doc], "hi": hi - starts[doc], "at": at - starts[doc], "h": short[at].view(np.int64), "g": g.view(np.int64)}
+    g, g2 = digests(buffer.data, lo.tolist(), (hi + length).tolist(), (at - lo).tolist())
+    return {"doc": some[doc], "lo": lo - starts[doc], "hi": hi - starts[doc], "at": at - starts[doc], "h": short[at].view(np.int64), "g": g, "g2": g2}

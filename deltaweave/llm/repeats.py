@@ -51,7 +51,7 @@ def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def find_segments(keyed: DataFrame, length: int) -> DataFrame:
-    """(kid, tk, lo, hi, at, h, g) with arrays over a text's segments; texts without a segment give no row."""
+    """(kid, tk, lo, hi, at, h, g, g2) with arrays over a text's segments; texts without a segment give no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -61,11 +61,11 @@ def find_segments(keyed: DataFrame, length: int) -> DataFrame:
                 for a, b in _groups(texts):
                     found = segments(texts[a:b], length)
                     offsets = np.concatenate([[0], np.cumsum(np.bincount(found["doc"], minlength=b - a))]).astype(np.int32)
-                    arrays = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[c].astype(t))) for c, t in (("lo", np.int32), ("hi", np.int32), ("at", np.int32), ("h", np.int64), ("g", np.int64))]
-                    yield pa.RecordBatch.from_arrays([part.column("kid").slice(a, b - a), part.column("tk").slice(a, b - a), *arrays], names=["kid", "tk", "lo", "hi", "at", "h", "g"])
+                    arrays = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[c].astype(t))) for c, t in (("lo", np.int32), ("hi", np.int32), ("at", np.int32), ("h", np.int64), ("g", np.int64), ("g2", np.int64))]
+                    yield pa.RecordBatch.from_arrays([part.column("kid").slice(a, b - a), part.column("tk").slice(a, b - a), *arrays], names=["kid", "tk", "lo", "hi", "at", "h", "g", "g2"])
 
     long_ = keyed.filter(F.octet_length("text") >= length)
-    return long_.mapInArrow(run, "kid long, tk long, lo array<int>, hi array<int>, at array<int>, h array<long>, g array<long>")
+    return long_.mapInArrow(run, "kid long, tk long, lo array<int>, hi array<int>, at array<int>, h array<long>, g array<long>, g2 array<long>")
 
 
 def index_matches(cut: DataFrame, length: int, shares: int) -> DataFrame:
@@ -98,28 +98,31 @@ def digest_matches(cut: DataFrame, length: int) -> DataFrame:
 
 def repeat_spans(keyed: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(kid, tk, spans): for each text with repeating strings, the byte ranges (start, end) that they cover, not yet merged."""
-    found = checkpoint(find_segments(keyed, length))
-    all_ = found.select("kid", "tk", F.explode(F.arrays_zip("lo", "hi", "at", "h", "g")).alias("s")).select("kid", "tk", "s.lo", "s.hi", "s.at", "s.h", "s.g")
-    # a table of its own, so that both sides of the next join come straight from a shuffle and a hot anchor's rows can be split
-    shared = checkpoint(all_.groupBy("h").agg(F.count("*").alias("n"), F.min("g").alias("g0"), F.max("g").alias("g1")).filter("n > 1").select("h", (F.col("g0") != F.col("g1")).alias("mixed")))
+    # the number tells repeated rows apart; the table is checkpointed, so it stays
+    found = checkpoint(find_segments(keyed, length).withColumn("uid", F.monotonically_increasing_id()))
+    all_ = found.select("kid", "tk", "uid", F.explode(F.arrays_zip("lo", "hi", "at", "h", "g", "g2")).alias("s")).select("kid", "tk", "uid", "s.*")
+    # tables of their own, so that both sides of the next joins come straight from a shuffle and a hot key's rows can be split
+    several = F.min("g") != F.max("g"), F.min("g2") != F.max("g2")
+    shared = checkpoint(all_.groupBy("h").agg(F.count("*").alias("n"), (several[0] | several[1]).alias("mixed")).filter("n > 1").select("h", "mixed"))
     known = all_.join(shared, "h")
     # equal segments under anchors that have others: how many, and which of them stands for all
-    own = F.xxhash64("kid", "tk", "lo")
+    own = F.xxhash64("uid", "lo")
     mixed = checkpoint(known.filter("mixed").drop("mixed"))
-    equal = mixed.groupBy("h", "g").agg(F.count("*").alias("m"), F.min(own).alias("first"))
-    counted = mixed.join(equal, ["h", "g"])
+    equal = checkpoint(mixed.groupBy("h", "g", "g2").agg(F.count("*").alias("m"), F.min(own).alias("first")))
+    counted = mixed.join(equal, ["h", "g", "g2"])
     whole = known.filter("not mixed").select("kid", "tk", "lo", "hi").unionByName(counted.filter("m > 1").select("kid", "tk", "lo", "hi"))
     whole = whole.select("kid", "tk", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
-    kinds = equal.groupBy("h").agg(F.count("*").alias("kinds"))
+    kinds = checkpoint(equal.groupBy("h").agg(F.count("*").alias("kinds")))
     needed = checkpoint(counted.filter((F.col("m") == 1) | (F.col("first") == own)).join(kinds, "h").select("kid", "tk", "lo", "hi", "at", "h", "kinds"))
     shares = max(1, ceil(needed.count() / SHARE))
-    wanted = needed.groupBy("kid", "tk").agg(F.collect_list(F.struct("lo", "hi", "at", "h", "kinds")).alias("wanted"))
+    # sets: rows with one id and text want the same, and are one before the shuffle
+    wanted = needed.groupBy("kid", "tk").agg(F.collect_set(F.struct("lo", "hi", "at", "h", "kinds")).alias("wanted"))
     cut = keyed.join(wanted, ["kid", "tk"]).select("kid", "tk", "text", F.explode("wanted").alias("w"))
     cut = cut.select("kid", "tk", "w.lo", "w.at", "w.h", "w.kinds", F.substring("text", F.col("w.lo") + 1, F.col("w.hi") - F.col("w.lo") + length).alias("bytes"))
     matched = index_matches(cut.filter(F.col("kinds") <= hot).drop("kinds"), length, shares)
     if needed.filter(F.col("kinds") > hot).limit(1).count():
         matched = matched.unionByName(digest_matches(cut.filter(F.col("kinds") > hot), length))
-    return whole.unionByName(matched).groupBy("kid", "tk").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return whole.unionByName(matched).groupBy("kid", "tk").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -174,9 +177,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
 
 def repeat_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of `remove_repeats`."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) of `remove_repeats`; text: what is left, with a mark for each byte that a cut character leaves."""
     done = remove_repeats(docs, length)
-    return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    text = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
+    return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), text)
 
 
 def _rewritten(docs: DataFrame, spans: DataFrame, cut: Callable[[bytes, list[tuple[int, int]]], bytes], id_col: str, text_col: str) -> DataFrame:

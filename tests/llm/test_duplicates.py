@@ -174,7 +174,10 @@ def test_remove_repeats(spark, hot):
         kept = without(x, gone)
         wanted.append((i, len(x), len(x) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
     got = remove_repeats(docs, hot=hot) if hot == 1 else None
-    rows = repeat_digests(docs) if got is None else got.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n"), F.size("spans").alias("s"), F.sha2("kept", 256).alias("h"))
+    if got is None:
+        rows = repeat_digests(docs)
+        assert all(hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"] for r in rows.collect() if "\ufffd" not in r["text"])
+    rows = rows.drop("text") if got is None else got.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n"), F.size("spans").alias("s"), F.sha2("kept", 256).alias("h"))
     assert sorted(map(str, map(tuple, rows.collect()))) == sorted(map(str, wanted))
 
 
@@ -190,6 +193,21 @@ def test_texts_may_have_any_length(spark, monkeypatch):
         test_suffix_index_finds_every_repeat(seed)
 
 
+def test_rows_that_repeat_cost_in_proportion(spark, monkeypatch):
+    """Copies of one row, with equal or null ids, beside two texts that share its passage."""
+    import deltaweave.llm.repeats as R
+
+    sent = []
+    monkeypatch.setattr(R, "index_matches", lambda cut, *a, own=R.index_matches: sent.append(cut.count()) or own(cut, *a))
+    rng = random.Random(1)
+    passage, own = ["".join(rng.choice("abcdefgh ") for _ in range(2000)) for _ in range(2)]
+    for n in (20, 80):
+        docs = spark.createDataFrame([(None if n == 80 else 7, own[:700] + passage)] * n + [(1, "x" + passage), (2, passage[:900])], "doc_id long, text string")
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in repeat_digests(docs).collect()}
+        assert got == {None if n == 80 else 7: (2700, 2700), 1: (2001, 2000), 2: (900, 900)}
+    assert sent[1] <= 5 * sent[0]
+
+
 def test_drop_repeats_keeps_rows_and_letters(spark):
     passage = "é" * 300
     docs = spark.createDataFrame([(1, "a" + passage, "x"), (2, "b" + passage, "y"), (3, None, "z"), (4, "", "w")], "doc_id long, text string, row string")
