@@ -123,7 +123,8 @@ def link_fingerprints(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET
     kept = masks(radius)
     tables = F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.xxhash64("f", F.lit(v), F.col("fp").bitwiseAND(F.lit(m))).alias("key")) for v, m in enumerate(kept)]))
     keys = distinct.select("f", "fp", tables.alias("t")).select("f", "fp", "t.v", "t.key")
-    sized = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # a table of its own, so that a hot key's rows can be split in the join
+    sized = checkpoint(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     met = keys.join(sized, "key")
     links = _direct if direct else _within
 
