@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from .anchors import segments
 from .bpe_coding import parts, release
 from .common import checkpoint
+from .marks import Marks
 from .suffix_index import SuffixIndex
 
 LENGTH = 400
@@ -50,21 +51,23 @@ def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
             start, total = i + 1, 0
 
 
-def find_segments(keyed: DataFrame, length: int) -> DataFrame:
-    """(kid, tk, lo, hi, at, h, g, g2) with arrays over a text's segments; texts without a segment give no row."""
+def find_segments(keyed: DataFrame, length: int, code: Callable[[bytes], bytes] | None = None) -> DataFrame:
+    """(kid, tk, lo, hi, at, h, g, g2) with arrays over a text's segments; texts without a segment give no row. `code` is applied to the texts first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
             for part in parts(batch):
                 texts = part.column("text").to_pylist()
+                if code is not None:
+                    texts = [code(t) for t in texts]
                 for a, b in _groups(texts):
                     found = segments(texts[a:b], length)
                     offsets = np.concatenate([[0], np.cumsum(np.bincount(found["doc"], minlength=b - a))]).astype(np.int32)
                     arrays = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[c].astype(t))) for c, t in (("lo", np.int32), ("hi", np.int32), ("at", np.int32), ("h", np.int64), ("g", np.int64), ("g2", np.int64))]
                     yield pa.RecordBatch.from_arrays([part.column("kid").slice(a, b - a), part.column("tk").slice(a, b - a), *arrays], names=["kid", "tk", "lo", "hi", "at", "h", "g", "g2"])
 
-    long_ = keyed.filter(F.octet_length("text") >= length)
+    long_ = keyed.filter(F.octet_length("text") >= length) if code is None else keyed
     return long_.mapInArrow(run, "kid long, tk long, lo array<int>, hi array<int>, at array<int>, h array<long>, g array<long>, g2 array<long>")
 
 
@@ -96,10 +99,17 @@ def digest_matches(cut: DataFrame, length: int) -> DataFrame:
     return each.join(twice, "digest").select("kid", "tk", "start", (F.col("start") + length).alias("end"))
 
 
-def repeat_spans(keyed: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(kid, tk, spans): for each text with repeating strings, the byte ranges (start, end) that they cover, not yet merged."""
+def repeat_spans(keyed: DataFrame, length: int = LENGTH, hot: int = HOT, code: Callable[[bytes], bytes] | None = None) -> DataFrame:
+    """(kid, tk, spans): for each text with repeating strings, the byte ranges (start, end) that they cover, not yet merged. `code` is applied to the texts first."""
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            for part in parts(batch):
+                yield part.set_column(2, "text", pa.array([code(t) for t in part.column("text").to_pylist()], pa.binary()))
+
     # the number tells repeated rows apart; the table is checkpointed, so it stays
-    found = checkpoint(find_segments(keyed, length).withColumn("uid", F.monotonically_increasing_id()))
+    found = checkpoint(find_segments(keyed, length, code).withColumn("uid", F.monotonically_increasing_id()))
     all_ = found.select("kid", "tk", "uid", F.explode(F.arrays_zip("lo", "hi", "at", "h", "g", "g2")).alias("s")).select("kid", "tk", "uid", "s.*")
     # tables of their own, so that both sides of the next joins come straight from a shuffle and a hot key's rows can be split
     several = F.min("g") != F.max("g"), F.min("g2") != F.max("g2")
@@ -117,7 +127,11 @@ def repeat_spans(keyed: DataFrame, length: int = LENGTH, hot: int = HOT) -> Data
     shares = max(1, ceil(needed.count() / SHARE))
     # sets: rows with one id and text want the same, and are one before the shuffle
     wanted = needed.groupBy("kid", "tk").agg(F.collect_set(F.struct("lo", "hi", "at", "h", "kinds")).alias("wanted"))
-    cut = keyed.join(wanted, ["kid", "tk"]).select("kid", "tk", "text", F.explode("wanted").alias("w"))
+    wanted = checkpoint(wanted)
+    texts = Marks(wanted, "kid", "tk").on(keyed, "m").filter("m").drop("m")
+    if code is not None:
+        texts = texts.mapInArrow(coded, texts.schema)
+    cut = texts.join(wanted, ["kid", "tk"]).select("kid", "tk", "text", F.explode("wanted").alias("w"))
     cut = cut.select("kid", "tk", "w.lo", "w.at", "w.h", "w.kinds", F.substring("text", F.col("w.lo") + 1, F.col("w.hi") - F.col("w.lo") + length).alias("bytes"))
     matched = index_matches(cut.filter(F.col("kinds") <= hot).drop("kinds"), length, shares)
     if needed.filter(F.col("kinds") > hot).limit(1).count():
@@ -125,6 +139,14 @@ def repeat_spans(keyed: DataFrame, length: int = LENGTH, hot: int = HOT) -> Data
     return whole.unionByName(matched).groupBy("kid", "tk").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
+def with_spans(keyed: DataFrame, spans: DataFrame) -> DataFrame:
+    """`keyed` with the spans of each row, or null. Rows that surely have none aren't shuffled."""
+    spans = checkpoint(spans)
+    marked = Marks(spans, "kid", "tk").on(keyed, "_m")
+    kind = spans.schema["spans"].dataType
+    return marked.filter("not _m").withColumn("spans", F.lit(None).cast(kind)).unionByName(marked.filter("_m").join(spans, ["kid", "tk"], "left")).drop("_m")
+
+
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     """Maximal ranges, in order."""
     out: list[tuple[int, int]] = []
@@ -171,7 +193,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                     names=["kid", "n_bytes", "spans", "kept"],
                 )
 
-    joined = keyed.join(spans, ["kid", "tk"], "left").select("kid", "text", "spans")
+    joined = with_spans(keyed, spans).select("kid", "text", "spans")
     done = joined.mapInArrow(cut, "kid long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
     return done.select(F.when(F.col("kid") != NULL_ID, F.col("kid")).alias("doc_id"), "n_bytes", "spans", "kept")
 
@@ -188,7 +210,7 @@ def _rewritten(docs: DataFrame, spans: DataFrame, cut: Callable[[bytes, list[tup
     names = docs.columns
     whole = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("kid"), F.xxhash64(whole).alias("tk"))
-    joined = rows.join(spans, ["kid", "tk"], "left").select("row", F.col(f"row.`{text_col}`").cast("string").alias("text"), "spans")
+    joined = with_spans(rows, spans).select("row", F.col(f"row.`{text_col}`").cast("string").alias("text"), "spans")
     row_type = joined.schema["row"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,13 +249,5 @@ def without_words(text: bytes, ranges: list[tuple[int, int]], least: int) -> byt
 
 def drop_passages(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """`docs` with every passage of at least `words` words that repeats anywhere taken out of its text; blanks don't count. All rows stay."""
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        for batch in batches:
-            for part in parts(batch):
-                codes = [word_codes(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("kid"), part.column("tk"), pa.array(codes, pa.binary())], names=["kid", "tk", "text"])
-
-    coded = _keyed(docs, id_col, text_col).mapInArrow(code, "kid long, tk long, text binary")
-    return _rewritten(docs, repeat_spans(coded, CODE * words, hot), lambda text, ranges: without_words(text, ranges, words), id_col, text_col)
+    spans = repeat_spans(_keyed(docs, id_col, text_col), CODE * words, hot, word_codes)
+    return _rewritten(docs, spans, lambda text, ranges: without_words(text, ranges, words), id_col, text_col)
