@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Codec
-from .common import broadcast_file, id_text, vocabulary_path
+from .common import broadcast_file, id_text, in_batches, vocabulary_path
 
 #: A part of a batch holds about so many bytes of text: enough words for the merges in step, little memory.
 PART_BYTES = 4 << 20
@@ -58,7 +58,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str | None = None, id_col: s
                 decoded = pa.array([own.decode(x) for x in packed], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed, pa.binary()), decoded], names=["doc_id", "ids", "decoded"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(code, "doc_id long, ids binary, decoded string")
+    return id_text(docs, id_col, text_col).transform(in_batches, code, "doc_id long, ids binary, decoded string")
 
 
 def coding_digests(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROWS = 1000  # of texts in a batch that goes to a Python worker
+
 
 def vocabulary_path(name: str, path: str | None = None) -> str:
     """`path` itself, or where the installed public vocabularies keep `name`."""
@@ -57,5 +59,16 @@ def let_go(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with batches of at most ROWS rows: texts may be long, and both sides hold a batch in memory.
+
+    That is a setting of the session, which is lowered where it is higher.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name)) not in range(1, ROWS + 1):
+        conf.set(name, ROWS)
+    return df.mapInArrow(run, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

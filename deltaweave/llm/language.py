@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe_coding import parts, release
-from .common import checkpoint
+from .common import checkpoint, in_batches
 from .ftrl import Ftrl, softmax
 
 FEATURES = 1 << 16
@@ -71,7 +71,7 @@ def tree_sum(df: DataFrame, column: str, fan: int = 16) -> np.ndarray | None:
     n = df.rdd.getNumPartitions()
     while n > fan:
         n = ceil(n / fan)
-        df = df.repartition(n).mapInArrow(add, f"{column} binary")
+        df = df.repartition(n).transform(in_batches, add, f"{column} binary")
     rows = [np.frombuffer(r[0], np.int64) for r in df.collect()]
     return sum(rows[1:], rows[0]) if rows else None
 
@@ -171,7 +171,7 @@ def fit(learn: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((-1, seen, frequency.tobytes(), None), schema, strict=True)], schema=schema)
 
-    made = checkpoint(learn.select("doc_id", "text", "lang", sampled.alias("sampled")).mapInArrow(collect, "kind int, id long, a binary, b binary"))
+    made = checkpoint(learn.select("doc_id", "text", "lang", sampled.alias("sampled")).transform(in_batches, collect, "kind int, id long, a binary, b binary"))
     frequency = tree_sum(made.filter("kind = -1"), "a")
     n = sum(sizes.values())
     idf = np.log((1 + n) / (1 + (np.zeros(FEATURES) if frequency is None else frequency))) + 1
@@ -195,7 +195,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     names, scores = own.predict(piece.column("text").to_pylist())
                     yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).transform(in_batches, run, "doc_id long, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -226,4 +226,4 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> Data
                     yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*piece.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return rows.transform(in_batches, run, schema)

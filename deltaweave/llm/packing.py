@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_coding import codec, parts
-from .common import broadcast_file, checkpoint, id_text, vocabulary_path
+from .common import broadcast_file, checkpoint, id_text, in_batches, vocabulary_path
 
 SHARE = 20_000  # pieces that one task packs
 CLOSED = 0.99  # of the tokens: a sequence filled so far is not packed again
@@ -53,7 +53,7 @@ def cut_pieces(docs: DataFrame, tokens: int = 4096, end_id: int = 1, tokenizer_p
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return id_text(docs, id_col, text_col).mapInArrow(cut, PIECES + (", ids binary" if with_ids else ""))
+    return id_text(docs, id_col, text_col).transform(in_batches, cut, PIECES + (", ids binary" if with_ids else ""))
 
 
 def best_fit(lengths: np.ndarray, capacity: tuple[float, float, float], weights: tuple[float, float, float], score: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .anchors import segments
 from .bpe_coding import parts, release
-from .common import checkpoint
+from .common import checkpoint, in_batches
 from .marks import Marks
 from .suffix_index import SuffixIndex
 
@@ -68,7 +68,7 @@ def find_segments(keyed: DataFrame, length: int, code: Callable[[bytes], bytes]
                     yield pa.RecordBatch.from_arrays([part.column("kid").slice(a, b - a), part.column("tk").slice(a, b - a), *arrays], names=["kid", "tk", "lo", "hi", "at", "h", "g", "g2"])
 
     long_ = keyed.filter(F.octet_length("text") >= length) if code is None else keyed
-    return long_.mapInArrow(run, "kid long, tk long, lo array<int>, hi array<int>, at array<int>, h array<long>, g array<long>, g2 array<long>")
+    return long_.transform(in_batches, run, "kid long, tk long, lo array<int>, hi array<int>, at array<int>, h array<long>, g array<long>, g2 array<long>")
 
 
 def index_matches(cut: DataFrame, length: int, shares: int) -> DataFrame:
@@ -87,7 +87,7 @@ def index_matches(cut: DataFrame, length: int, shares: int) -> DataFrame:
             entry, far, near = index.runs()
             yield pa.RecordBatch.from_arrays([pa.array(kid[entry]), pa.array(tk[entry]), pa.array((at[entry] - far).astype(np.int32)), pa.array((at[entry] - near + length).astype(np.int32))], names=["kid", "tk", "start", "end"])
 
-    return cut.repartition(shares, "h").mapInArrow(run, "kid long, tk long, start int, end int")
+    return cut.repartition(shares, "h").transform(in_batches, run, "kid long, tk long, start int, end int")
 
 
 def digest_matches(cut: DataFrame, length: int) -> DataFrame:
@@ -130,7 +130,7 @@ def repeat_spans(keyed: DataFrame, length: int = LENGTH, hot: int = HOT, code: C
     wanted = checkpoint(wanted)
     texts = Marks(wanted, "kid", "tk").on(keyed, "m").filter("m").drop("m")
     if code is not None:
-        texts = texts.mapInArrow(coded, texts.schema)
+        texts = texts.transform(in_batches, coded, texts.schema)
     cut = texts.join(wanted, ["kid", "tk"]).select("kid", "tk", "text", F.explode("wanted").alias("w"))
     cut = cut.select("kid", "tk", "w.lo", "w.at", "w.h", "w.kinds", F.substring("text", F.col("w.lo") + 1, F.col("w.hi") - F.col("w.lo") + length).alias("bytes"))
     matched = index_matches(cut.filter(F.col("kinds") <= hot).drop("kinds"), length, shares)
@@ -194,7 +194,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 )
 
     joined = with_spans(keyed, spans).select("kid", "text", "spans")
-    done = joined.mapInArrow(cut, "kid long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    done = joined.transform(in_batches, cut, "kid long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
     return done.select(F.when(F.col("kid") != NULL_ID, F.col("kid")).alias("doc_id"), "n_bytes", "spans", "kept")
 
 
@@ -221,7 +221,7 @@ def _rewritten(docs: DataFrame, spans: DataFrame, cut: Callable[[bytes, list[tup
                 kept = [t if not s else cut(t.encode(), merged(s)).decode() for t, s in zip(texts, part.column("spans").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(kept, pa.string())], names=["row", "kept"])
 
-    done = joined.mapInArrow(run, T.StructType().add("row", row_type).add("kept", "string"))
+    done = joined.transform(in_batches, run, T.StructType().add("row", row_type).add("kept", "string"))
     return done.select(*[F.col("kept").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names])
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_coding import parts, release
-from .common import checkpoint, id_text
+from .common import checkpoint, id_text, in_batches
 from .components import components
 
 BITS = 64
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
                     piece = part.slice(at, 256)
                     yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(fingerprint_many(piece.column("text").cast(pa.binary()).to_pylist(), shingle))], names=["doc_id", "fp"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return id_text(docs, id_col, text_col).transform(in_batches, run, "doc_id long, fp long")
 
 
 def masks(radius: int, bits: int = BITS) -> list[int]:

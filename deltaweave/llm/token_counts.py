@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import broadcast_file, id_text, vocabulary_path
+from .common import broadcast_file, id_text, in_batches, vocabulary_path
 
 SPACE = "▁"
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -117,4 +117,4 @@ def token_counts(docs: DataFrame, model_path: str | None = None, limit: int = 40
                     [part.column("doc_id"), pc.cast(pc.binary_length(part.column("text")), pa.int64()), n, pc.greater(n, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"]
                 )
 
-    return id_text(docs, id_col, text_col).mapInArrow(count, SCHEMA)
+    return id_text(docs, id_col, text_col).transform(in_batches, count, SCHEMA)

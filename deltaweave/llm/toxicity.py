@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_coding import parts, release
-from .common import checkpoint
+from .common import checkpoint, in_batches
 from .ftrl import Ftrl
 
 SAMPLE = 3000
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "toxic", "words"])
 
     # about `sample` rows of ids, whatever the input
-    made = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(collect, "doc_id long, toxic int, words array<string>")
+    made = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").transform(in_batches, collect, "doc_id long, toxic int, words array<string>")
     made = checkpoint(made)
     # words of fewer documents are never known: they needn't come to the driver
     each = made.select("doc_id", F.explode("words").alias("word")).distinct()
@@ -155,7 +155,7 @@ def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 columns = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.float64(), pa.int32(), pa.float64()))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns, pa.array([x[2] >= CUT for x in found], pa.bool_())], names=["doc_id", "severity", "grade", "p_toxic", "toxic"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, severity double, grade int, p_toxic double, toxic boolean")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).transform(in_batches, run, "doc_id long, severity double, grade int, p_toxic double, toxic boolean")
 
 
 def labelled_severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
