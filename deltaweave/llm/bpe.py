@@ -89,8 +89,8 @@ class Merges:
             elif w:
                 groups.setdefault(max(1, (len(w) - 1).bit_length() and 1 << (len(w) - 2).bit_length()), []).append(i)
         for pairs, members in groups.items():
-            for at in range(0, len(members), 8192):
-                part = members[at : at + 8192]
+            for at in range(0, len(members), 2048):
+                part = members[at : at + 2048]
                 for i, ids in zip(part, self._rows([words[i] for i in part], pairs), strict=True):
                     out[i] = ids
         return out

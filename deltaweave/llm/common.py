@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +62,19 @@ def let_go(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; before each, the worker gives memory back that it no longer uses, as executors keep their workers for the next operators."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    pa.set_memory_pool(pa.system_memory_pool())
+    for batch in batches:
+        if trim is not None:
+            trim(0)
+        yield batch
+        del batch
+    if trim is not None:
+        trim(0)
+
+
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
     """mapInArrow with batches of at most ROWS rows: texts may be long, and both sides hold a batch in memory.
 
@@ -67,7 +83,7 @@ def in_batches(df: DataFrame, run, schema) -> DataFrame:
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(conf.get(name)) not in range(1, ROWS + 1):
         conf.set(name, ROWS)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: run(tidy(batches)), schema)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

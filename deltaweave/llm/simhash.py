@@ -64,8 +64,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
         release()
         for batch in batches:
             for part in parts(batch):
-                for at in range(0, part.num_rows, 256):
-                    piece = part.slice(at, 256)
+                for at in range(0, part.num_rows, 64):
+                    piece = part.slice(at, 64)
                     yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(fingerprint_many(piece.column("text").cast(pa.binary()).to_pylist(), shingle))], names=["doc_id", "fp"])
 
     return id_text(docs, id_col, text_col).transform(in_batches, run, "doc_id long, fp long")
