@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, let_go
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -29,6 +29,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x"))
         edges = checkpoint(small.select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).filter("a > b").distinct())
+        del both, least, large, small
+        let_go(edges.sparkSession)
         new = _state(edges)
         if new == state:
             break
