@@ -6,12 +6,14 @@ import ctypes
 import gc
 import hashlib
 import tempfile
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_cleared = [0.0]  # when let_go() was called last
 ROWS = 1000  # of texts in a batch that goes to a Python worker
 
 
@@ -53,13 +55,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if time.monotonic() > _cleared[0] + 1:
+        let_go(spark)
+    return out
 
 
 def let_go(spark: SparkSession) -> None:
     """Have Spark clear away the shuffle files of tables that nothing refers to any more; it does so when the driver collects its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _cleared[0] = time.monotonic()
 
 
 def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

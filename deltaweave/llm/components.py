@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, let_go
+from .common import checkpoint
+
+ROWS = 100_000  # of links in one partition, at least
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -23,6 +25,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = checkpoint(edges)
     state = _state(edges)
     while state[0]:
+        edges = edges.coalesce(1 + state[0] // ROWS)  # a few links left needn't be many small files
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
@@ -30,7 +33,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x"))
         edges = checkpoint(small.select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).filter("a > b").distinct())
         del both, least, large, small
-        let_go(edges.sparkSession)
         new = _state(edges)
         if new == state:
             break
