@@ -6,8 +6,8 @@ weight w gives t = floor(ln w / r + b) and ln a = ln c - r * (t - b + 1), and th
 24 bits. Two documents share a sample with a chance equal to their generalised Jaccard similarity, the sum of the lesser
 weights over the sum of the greater ones.
 
-A gamma(2, 1) is the sum of two exponentials, and the sum of two uniforms is uniform again without its whole part. So the
-draws of a term are sums of those of two halves of its hash, and 2 ^ 26 combinations come from two tables of HALF rows,
+A gamma(2, 1) is the sum of two exponentials, and also the product of a gamma(3, 1) and the root of a uniform, so that its
+logarithm is a sum, too; the sum of two uniforms is uniform again without its whole part. So the draws of a term are sums of those of two halves of its hash, and 2 ^ 26 combinations come from two tables of HALF rows,
 whatever the input, which may be broadcast. All rows of a document are made, counted and reduced in the partition that
 holds its text: words are never shuffled.
 """
@@ -32,18 +32,26 @@ _SPREAD = 0x9E3779  # odd, so that a term's t give different samples
 
 
 def draws(spark: SparkSession, side: int, samples: int = SAMPLES) -> DataFrame:
-    """(half<side>, c<side>, r<side>, b<side>): for each half of a hash, arrays over the samples of exponentials for c and r and uniforms for b."""
+    """(half<side>, c<side>, r<side>, b<side>): for each half of a hash, arrays over the samples. The sums of both sides are ln c, r and, but for its whole part, b."""
+
+    def log_uniform(k: Column, salt: int) -> Column:
+        return F.coalesce(F.ln(uniform(k, salt)), F.lit(0.0))  # never null, and declared so
 
     def uniform(k: Column, salt: int) -> Column:
         return (F.shiftrightunsigned(F.xxhash64("id", k, F.lit(2 * salt + side)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
 
+    def log_gamma(k: Column) -> Column:
+        if side:
+            return log_uniform(k, 1) / 2
+        return F.coalesce(F.ln(-(log_uniform(k, 1) + log_uniform(k, 4) + log_uniform(k, 5))), F.lit(0.0))
+
     def over(make) -> Column:
         return F.transform(F.sequence(F.lit(1), F.lit(samples)), make)
 
     return spark.range(HALF).select(
         F.col("id").alias(f"half{side}"),
-        over(lambda k: -F.ln(uniform(k, 1))).alias(f"c{side}"),
-        over(lambda k: -F.ln(uniform(k, 2))).alias(f"r{side}"),
+        over(log_gamma).alias(f"c{side}"),
+        over(lambda k: -log_uniform(k, 2)).alias(f"r{side}"),
         over(lambda k: uniform(k, 3)).alias(f"b{side}"),
     )
 
@@ -63,11 +71,11 @@ def sketch(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES)
 
     def sample(k: int) -> Column:
         c, r, b = (F.col(f"{x}0")[k] + F.col(f"{x}1")[k] for x in "crb")
-        b = b - F.floor(b)
-        t = F.floor(F.col("lw") / r + b)
-        value = F.ln(c) - r * (t - b + 1)
+        b = F.when(b >= 1, b - 1).otherwise(b)
+        t = F.when(F.col("lw") == 0, F.lit(0).cast("long")).otherwise(F.floor(F.col("lw") / r + b))  # most terms have weight 1
+        value = c - r * (t - b + 1)
         # the order of the values in the upper bits, which sample it is in the lower ones
-        order = F.shiftleft(((value + 192) * float(1 << 30)).cast("long"), _ID_BITS)
+        order = F.shiftleft(F.floor((value + 192) * float(1 << 30)), _ID_BITS)
         return F.min(order.bitwiseOR((F.col("own") + t * F.lit(_SPREAD)).bitwiseAND(low))).alias(f"s{k}")
 
     least = drawn.groupBy(*keys).agg(*[sample(k) for k in range(samples)])
