@@ -160,7 +160,7 @@ def _(t):
     return e.read("v")
 
 
-@query("ivm_recursion_epochs", "WITH RECURSIVE e AS (SELECT o_custkey % 30 AS a, (o_orderkey * 7) % 30 AS b FROM orders WHERE o_orderkey % 37 = 1), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a, b FROM r")
+@query("ivm_recursion_epochs", "WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, c_nationkey + LENGTH(o_orderpriority) AS b FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P'), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a, b FROM r")
 def _(t):
     e = engine(t)
     e.create_table("edges", "a long, b long")
@@ -169,9 +169,9 @@ def _(t):
         return new.join(tables["edges"].select(F.col("a").alias("m"), F.col("b").alias("z")), F.col("b") == F.col("m")).select("a", F.col("z").alias("b"))
 
     e.create_materialized_view("v", N.Recursion(N.Source("edges"), step, ["edges"], checkpointed))
-    edges = t.sql("SELECT o_custkey % 30 AS a, (o_orderkey * 7) % 30 AS b, o_orderkey AS k FROM orders WHERE o_orderkey % 37 < 2")
-    e.commit(0, {"edges": zset.lift(edges.filter("k % 37 = 0").select("a", "b"))})
-    e.commit(1, {"edges": zset.merge(zset.lift(edges.filter("k % 37 = 1").select("a", "b")), zset.lift(edges.filter("k % 37 = 0").select("a", "b"), -1))})
+    edges = t.sql("SELECT CAST(c_nationkey AS BIGINT) AS a, CAST(c_nationkey + LENGTH(o_orderpriority) AS BIGINT) AS b, o_orderstatus AS k FROM orders JOIN customer ON o_custkey = c_custkey")
+    e.commit(0, {"edges": zset.lift(edges.filter("k <> 'F'").select("a", "b"))})
+    e.commit(1, {"edges": zset.merge(zset.lift(edges.filter("k = 'F'").select("a", "b")), zset.lift(edges.filter("k = 'P'").select("a", "b"), -1))})
     return e.read("v")
 
 

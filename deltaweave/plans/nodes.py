@@ -1,6 +1,7 @@
 """Plan nodes: each has one definition over plain rows and one rule that turns changes of its inputs into changes of its output.
 
 A context holds the named sources before the change (`old`), the change (`delta`) and after it (`new`), all weighted.
+They need not be added up: a row may be there several times, with weights of either sign.
 Rules by class: linear nodes apply to the change itself; the inner join is bilinear; every other node computes the touched
 keys before and after, and emits the difference.
 """
@@ -19,11 +20,23 @@ from deltaweave.operators import batch
 from deltaweave.zset import WEIGHT
 
 
+class States(dict):
+    """Weighted states by name; an inline view's is made from its definition when asked for."""
+
+    def __init__(self, states: dict[str, DataFrame], inline: dict[str, Node] | None = None):
+        super().__init__(states)
+        self.inline = inline or {}
+
+    def __missing__(self, name: str) -> DataFrame:
+        return self.inline[name].state(self)
+
+
 @dataclass
 class Context:
     old: dict[str, DataFrame]
     delta: dict[str, DataFrame]
     new: dict[str, DataFrame]
+    inline: dict[str, Node] = field(default_factory=dict)
 
 
 class Node:
@@ -55,6 +68,8 @@ class Source(Node):
     rule = "change of the table"
 
     def delta(self, cx):
+        if self.name in cx.inline:
+            return cx.inline[self.name].delta(cx)
         return cx.delta[self.name] if self.name in cx.delta else cx.old[self.name].limit(0)
 
     def state(self, sources):

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from deltaweave.functions import scalar as S
 from deltaweave.operators import batch
-from deltaweave.plans.engine import Engine  # noqa: F401  (part of the public surface)
 from deltaweave.plans.registry import Tables, query, sql_query
 from deltaweave.sources.tables import checkpointed
 
@@ -89,7 +88,7 @@ sql_query("inner_join", "SELECT o_orderkey, c_name FROM orders JOIN customer ON
 sql_query("inner_join_multi_key", "SELECT a.l_orderkey, a.l_linenumber, b.l_quantity AS q FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.l_quantity > 40")
 _FEW = "(SELECT o_custkey, o_orderkey FROM orders WHERE o_totalprice > 350000) o"
 for _how in ("left", "right", "full"):
-    sql_query(f"{_how}_join", f"SELECT c_custkey, o_orderkey FROM (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) c {_how.upper()} JOIN {_FEW} ON c_custkey = o_custkey")
+    sql_query(f"{_how}_join", f"SELECT c_custkey, o_orderkey FROM (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING') c {_how.upper()} JOIN {_FEW} ON c_custkey = o_custkey")
 sql_query("semi_join", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 350000)")
 sql_query("anti_join", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 350000)")
 sql_query("in_subquery", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
@@ -214,7 +213,8 @@ def _(t):
 
 sql_query("json_object", "SELECT event_id, CAST(GET_JSON_OBJECT(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 sql_query("array_any", "SELECT n_nationkey FROM nation WHERE ARRAY_CONTAINS(ARRAY(1, 3), n_regionkey)", "SELECT n_nationkey FROM nation WHERE n_regionkey = ANY([1, 3])")
-_EDGES = "SELECT o_custkey % 40 AS a, (o_orderkey * 7) % 40 AS b FROM orders WHERE o_orderkey % 29 = 0"
+#: Each order leads from its customer to a later one; priorities and nations keep the chains short.
+_EDGES = "SELECT DISTINCT c_nationkey AS a, c_nationkey + 1 + CAST(LENGTH(o_orderpriority) AS BIGINT) % 4 AS b FROM orders JOIN customer ON o_custkey = c_custkey"
 
 
 @query("recursive_closure", f"WITH RECURSIVE e AS ({_EDGES}), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a, b FROM r")

@@ -38,9 +38,9 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def expand(z: DataFrame) -> DataFrame:
-    """Plain rows, each as often as its weight says. A negative net weight is an error: more was retracted than there was."""
+    """Plain rows, each as often as its net weight says. A negative net weight is an error: more was retracted than there was."""
     checked = F.when(F.col(WEIGHT) < 0, F.raise_error(F.lit("invalid multiplicity: more rows were retracted than exist"))).otherwise(F.col(WEIGHT).cast("int"))
-    return z.withColumn("_copies", F.explode(F.array_repeat(F.lit(1), checked))).select(*columns(z))
+    return consolidate(z).withColumn("_copies", F.explode(F.array_repeat(F.lit(1), checked))).select(*columns(z))
 
 
 def rows_with_keys(z: DataFrame, keys: list[str], touched: DataFrame) -> DataFrame:
