@@ -64,11 +64,18 @@ def int_div(a: Column | str, b: Column | str) -> Column:
     return F.floor(F.abs(a) / F.abs(b)).cast("long") * F.signum(a).cast("long") * F.signum(b).cast("long")
 
 
+def _micros(ts: Column | str) -> Column:
+    """Microseconds from 1970-01-01 on the clock of the value itself, whatever the session's time zone."""
+    since = col(ts).cast("timestamp_ntz") - F.lit("1970-01-01").cast("timestamp_ntz")
+    minutes = (F.extract(F.lit("DAY"), since).cast("long") * 24 + F.extract(F.lit("HOUR"), since)) * 60 + F.extract(F.lit("MINUTE"), since)
+    return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), since) * 1_000_000).cast("long")
+
+
 def date_part(unit: str, ts: Column | str) -> Column:
     """A double; dow counts from Sunday 0, isodow from Monday 1; epoch in seconds."""
-    ts = col(ts).cast("timestamp")
+    ts = col(ts).cast("timestamp_ntz")
     if unit == "epoch":
-        return F.unix_micros(ts) / F.lit(1e6)
+        return _micros(ts) / F.lit(1e6)
     if unit == "dow":
         return (F.dayofweek(ts) - 1).cast("double")
     if unit == "isodow":
@@ -84,7 +91,7 @@ def to_char(ts: Column | str, pattern: str) -> Column:
 
 def age(a: Column | str, b: Column | str) -> Column:
     """`D days HH:MM:SS` between two times."""
-    seconds = F.unix_seconds(col(a).cast("timestamp")) - F.unix_seconds(col(b).cast("timestamp"))
+    seconds = F.floor(_micros(a) / 1_000_000) - F.floor(_micros(b) / 1_000_000)
     rest = F.abs(seconds) % 86400
     days = F.signum(seconds).cast("long") * F.floor(F.abs(seconds) / 86400)
     return F.format_string("%d days %02d:%02d:%02d", days, F.floor(rest / 3600), F.floor(rest % 3600 / 60), rest % 60)
@@ -92,8 +99,8 @@ def age(a: Column | str, b: Column | str) -> Column:
 
 def date_bin(ts: Column | str, seconds: int) -> Column:
     """The start of the bin of so many seconds, aligned to 1970-01-01."""
-    micros = F.unix_micros(col(ts).cast("timestamp"))
-    return F.timestamp_micros(micros - F.pmod(micros, F.lit(seconds * 1_000_000))).cast("timestamp_ntz")
+    over = F.pmod(_micros(ts), F.lit(seconds * 1_000_000))
+    return col(ts).cast("timestamp_ntz") - F.make_dt_interval(secs=(over.cast("decimal(20,6)") / 1_000_000).cast("decimal(18,6)"))
 
 
 def is_distinct_from(a: Column | str, b: Column | str) -> Column:

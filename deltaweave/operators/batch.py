@@ -66,17 +66,17 @@ def json_array(df: DataFrame, column: str, name: str) -> DataFrame:
 
 def tumble(df: DataFrame, ts: str, size: str, name: str = "window_start") -> DataFrame:
     """Each row with the start of its window; rows without a time go."""
-    return df.filter(F.col(ts).isNotNull()).withColumn(name, F.window(F.col(ts).cast("timestamp"), size)["start"].cast("timestamp_ntz"))
+    return df.filter(F.col(ts).isNotNull()).withColumn(name, F.window(F.col(ts).cast("timestamp_ntz"), size)["start"])
 
 
 def hop(df: DataFrame, ts: str, size: str, slide: str, name: str = "window_start") -> DataFrame:
     """Each row once for each window that holds it."""
-    return df.filter(F.col(ts).isNotNull()).withColumn("_w", F.window(F.col(ts).cast("timestamp"), size, slide)).withColumn(name, F.col("_w.start").cast("timestamp_ntz")).drop("_w")
+    return df.filter(F.col(ts).isNotNull()).withColumn("_w", F.window(F.col(ts).cast("timestamp_ntz"), size, slide)).withColumn(name, F.col("_w.start")).drop("_w")
 
 
 def sessions(df: DataFrame, keys: Sequence[str], ts: str, gap: str) -> DataFrame:
     """(keys, session_start, session_end, n); a session ends with its last event."""
-    stamped = df.filter(F.col(ts).isNotNull()).withColumn("_t", F.col(ts).cast("timestamp"))
+    stamped = df.filter(F.col(ts).isNotNull()).withColumn("_t", F.col(ts).cast("timestamp_ntz"))
     out = stamped.groupBy(*keys, F.session_window("_t", gap).alias("_s")).agg(F.min(ts).alias("session_start"), F.max(ts).alias("session_end"), F.count("*").alias("n"))
     return out.drop("_s")
 
@@ -102,13 +102,31 @@ def might_contain(filter_bits: Column, value: Column, bits: int = 256, hashes: i
     return F.forall(F.array(*[F.pmod(F.xxhash64(F.lit(i), value), F.lit(bits)) for i in range(hashes)]), lambda p: F.array_contains(filter_bits, p))
 
 
-def snapshot_chunks(df: DataFrame, key: str, batch_size: int, resume_from: int = 0):
-    """The rows in order of `key` in chunks of `batch_size`, as +1 changes, from chunk `resume_from` on. Bounds are found once; a chunk is a range of the key."""
-    ranks = df.select(key).repartitionByRange(key).sortWithinPartitions(key)
-    total = df.count()
-    chunks = max(1, -(-total // batch_size))
-    bounds = ranks.approxQuantile(key, [i / chunks for i in range(1, chunks)], 0.0) if chunks > 1 else []
-    for i in range(resume_from, chunks):
-        low, high = (bounds[i - 1] if i else None), (bounds[i] if i < len(bounds) else None)
-        part = df if low is None else df.filter(F.col(key) > low)
-        yield i, (part if high is None else part.filter(F.col(key) <= high)).withColumn(WEIGHT, F.lit(1).cast("long"))
+def snapshot_chunks(df: DataFrame, key: str, batch_size: int, checkpoint: Callable[[DataFrame], DataFrame], resume_from: int = 0):
+    """All rows in order of `key`, nulls first, in chunks of `batch_size`, as +1 changes, from chunk `resume_from` on.
+
+    Rows with equal keys are in order of a hash of all their columns, so a row is in the same chunk whenever the same table is read
+    again. A key of any type that has an order will do. Only the number of rows in each range comes to the driver.
+    """
+    named = df.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    order = [F.col(key).asc_nulls_first(), F.col("_h")]
+    ranged = checkpoint(named.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    counts = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.count("*").alias("n")).collect()}
+    before, total = {}, 0
+    for p in sorted(counts):
+        before[p], total = total, total + counts[p]
+    if not total:
+        return
+    offset = F.element_at(F.create_map(*[F.lit(x) for p, n in before.items() for x in (p, n)]), F.col("_p"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1 + offset
+    placed = checkpoint(ranged.withColumn("_chunk", F.floor(place / batch_size)).drop("_p", "_h"))
+    for i in range(resume_from, -(-total // batch_size)):
+        yield i, placed.filter(F.col("_chunk") == i).drop("_chunk").withColumn(WEIGHT, F.lit(1).cast("long"))
+
+
+def factorized_avg(left: DataFrame, right: DataFrame, key: str, value: str, group: str) -> DataFrame:
+    """(group, total, n, average): as `factorized_join_agg`, with SUM, COUNT and AVG of the values that aren't null."""
+    a = left.groupBy(key).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
+    b = right.groupBy(key, group).agg(F.count("*").alias("_r"))
+    sums = a.join(b, key).groupBy(group).agg(F.sum(F.col("_s") * F.col("_r")).alias("total"), F.sum(F.col("_c") * F.col("_r")).alias("n"))
+    return sums.withColumn("average", F.col("total") / F.nullif("n", F.lit(0)))

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltaweave import zset
+from deltaweave.operators import batch
 from deltaweave.plans import nodes as N
 from deltaweave.plans.engine import Engine, update
 from deltaweave.plans.registry import Tables, query
 from deltaweave.sources.tables import cdc_changes, checkpointed, shared_folder
-from deltaweave.streaming.late import late_windows
+from deltaweave.streaming.late import late_windows, split_late_sessions
 
 ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_price decimal(18,2)"
 CUSTOMERS = "c_custkey long, c_nationkey int, c_mktsegment string"
@@ -211,3 +212,152 @@ def _(t):
 @query("late_route", f"SELECT event_id, ts FROM events WHERE {_LATE}")
 def _(t):
     return _late(t, "route")[1]
+
+
+# -- further nodes over the same history
+_DEAR = f"(SELECT * FROM {LEFT} WHERE o_price > 300000) b"
+
+
+def dear() -> N.Node:
+    return N.filter_(O, F.col("o_price") > 300000)
+
+
+def keys() -> tuple[N.Node, N.Node]:
+    return N.project(O, F.col("o_custkey").alias("k")), N.project(C, F.col("c_custkey").alias("k"))
+
+
+for _how, _sql in (("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
+
+    @query(f"ivm_{_how}_join_epochs", f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') c {_sql} {_DEAR} ON c_custkey = o_custkey")
+    def _(t, how=_how):
+        node = N.Matching(N.filter_(C, F.col("c_mktsegment") == "BUILDING"), dear(), [("c_custkey", "o_custkey")], how)
+        return kept(t, ("v", N.project(node, "c_custkey", "o_orderkey"))).read("v")
+
+
+@query("ivm_semi_join_epochs", f"SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM {LEFT} WHERE o_custkey = c_custkey AND o_price > 300000)")
+def _(t):
+    return kept(t, ("v", N.project(N.Matching(C, dear(), [("c_custkey", "o_custkey")], "left_semi"), "c_custkey"))).read("v")
+
+
+@query("ivm_not_in_epochs", f"SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM {LEFT} WHERE o_price > 300000)")
+def _(t):
+    return kept(t, ("v", N.project(N.NullAwareAnti(C, dear(), "c_custkey", "o_custkey"), "c_custkey"))).read("v")
+
+
+@query("ivm_union_epochs", f"SELECT o_custkey AS k FROM {LEFT} UNION ALL SELECT c_custkey AS k FROM customer")
+def _(t):
+    return kept(t, ("v", N.Union(keys()))).read("v")
+
+
+@query("ivm_intersect_epochs", f"SELECT o_custkey AS k FROM {LEFT} INTERSECT ALL SELECT c_custkey AS k FROM customer")
+def _(t):
+    return kept(t, ("v", N.SetOp(keys(), "intersect", all=True))).read("v")
+
+
+@query("ivm_median_epochs", f"SELECT o_orderstatus, CAST(MEDIAN(o_custkey) AS DOUBLE) AS m, CAST(SUM(DISTINCT o_custkey) AS BIGINT) AS s FROM {LEFT} GROUP BY o_orderstatus")
+def _(t):
+    return kept(t, ("v", N.aggregate(O, ["o_orderstatus"], F.median("o_custkey").alias("m"), F.sum_distinct("o_custkey").alias("s")))).read("v")
+
+
+def _event_views(t: Tables, node: N.Node) -> DataFrame:
+    """Three fifths of the events, then the others, while one fifth is taken back."""
+    e = engine(t)
+    e.create_table("events", "event_id long, user_id long, ts timestamp_ntz")
+    e.create_materialized_view("v", node)
+    rows = t.events.select("event_id", "user_id", "ts")
+    e.commit(0, {"events": zset.lift(rows.filter("event_id % 5 < 3"))})
+    e.commit(1, {"events": zset.merge(zset.lift(rows.filter("event_id % 5 >= 3")), zset.lift(rows.filter("event_id % 5 = 2"), -1))})
+    return e.read("v")
+
+
+@query("ivm_tumble_epochs", "SELECT TIME_BUCKET(INTERVAL '1 day', ts) AS window_start, COUNT(*) AS n FROM events WHERE event_id % 5 <> 2 GROUP BY 1")
+def _(t):
+    return _event_views(t, N.aggregate(N.Linear(N.Source("events"), lambda z: batch.tumble(z, "ts", "1 day")), ["window_start"], F.count("*").alias("n")))
+
+
+@query("ivm_hop_epochs", "SELECT w AS window_start, COUNT(*) AS n FROM (SELECT TIME_BUCKET(INTERVAL '6 hours', ts) - i * INTERVAL '6 hours' AS w FROM events, RANGE(4) r(i) WHERE event_id % 5 <> 2) x GROUP BY w")
+def _(t):
+    return _event_views(t, N.aggregate(N.Linear(N.Source("events"), lambda z: batch.hop(z, "ts", "1 day", "6 hours")), ["window_start"], F.count("*").alias("n")))
+
+
+@query("commit_retry", "SELECT s_suppkey FROM supplier")
+def _(t):
+    """A commit that fails leaves nothing, and its retry counts once."""
+    e = engine(t)
+    e.create_table("s", "s_suppkey long")
+    e.create_table("other", "x long")
+    rows = zset.lift(t.supplier.select("s_suppkey"))
+    overdraft = zset.lift(t.spark.createDataFrame([(1,)], "x long"), -1)
+    try:
+        e.commit(0, {"s": rows, "other": overdraft})
+    except ValueError:
+        e.commit(0, {"s": rows})
+    return e.read("s")
+
+
+@query("engine_restart", "SELECT s_nationkey, COUNT(*) AS n FROM supplier GROUP BY s_nationkey")
+def _(t):
+    """A second engine on the same path goes on where the first stopped."""
+    first = engine(t)
+
+    def declared(e: Engine) -> Engine:
+        e.create_table("s", "s_suppkey long, s_nationkey int")
+        e.create_materialized_view("v", N.aggregate(N.Source("s"), ["s_nationkey"], F.count("*").alias("n")))
+        return e
+
+    rows = t.supplier.select("s_suppkey", "s_nationkey")
+    declared(first).commit(0, {"s": zset.lift(rows.filter("s_suppkey % 2 = 0"))})
+    second = declared(Engine(t.spark, first.path))
+    second.commit(0, {"s": zset.lift(rows)})  # committed before
+    second.commit(1, {"s": zset.lift(rows.filter("s_suppkey % 2 = 1"))})
+    return second.read("v")
+
+
+@query("view_on_inline_view", f"SELECT o_custkey, CAST(SUM(o_price) AS DOUBLE) AS total, COUNT(*) AS n FROM {LEFT} WHERE o_price > 300000 GROUP BY o_custkey")
+def _(t):
+    e = engine(t)
+    e.create_table("orders", ORDERS)
+    e.create_table("customer", CUSTOMERS)
+    e.create_view("dear", dear())
+    e.create_materialized_view("v", N.SumCount(N.Source("dear"), ["o_custkey"], "o_price"))
+    history(e, t)
+    return e.read("v").select("o_custkey", F.col("total").cast("double").alias("total"), "n")
+
+
+@query("diamond_views", f"SELECT o_custkey, COUNT(*) AS n, CAST(MAX(o_price) AS DOUBLE) AS hi FROM {LEFT} GROUP BY o_custkey")
+def _(t):
+    counts = N.aggregate(O, ["o_custkey"], F.count("*").alias("n"))
+    highs = N.aggregate(O, ["o_custkey"], F.max("o_price").alias("hi"))
+    both = N.InnerJoin(N.Source("counts"), N.project(N.Source("highs"), F.col("o_custkey").alias("k2"), "hi"), [("o_custkey", "k2")])
+    e = kept(t, ("counts", counts), ("highs", highs), ("both", both))
+    return e.read("both").select("o_custkey", "n", F.col("hi").cast("double").alias("hi"))
+
+
+@query("stream_tumble_epochs", "SELECT TIME_BUCKET(INTERVAL '1 day', ts) AS window_start, COUNT(*) AS n FROM events GROUP BY 1")
+def _(t):
+    """A file stream whose micro-batches are commits."""
+    e = engine(t)
+    e.create_table("events", "event_id long, ts timestamp_ntz")
+    e.create_materialized_view("v", N.aggregate(N.Linear(N.Source("events"), lambda z: batch.tumble(z, "ts", "1 day")), ["window_start"], F.count("*").alias("n")))
+    t.events.select("event_id", "ts").repartition(3).write.parquet(f"{e.path}/_in")
+    stream = t.spark.readStream.schema("event_id long, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(f"{e.path}/_in")
+    e.stream("events", stream, f"{e.path}/_progress").awaitTermination()
+    return e.read("v")
+
+
+@query("late_retraction", f"SELECT {_DAY} AS window_start, CAST(SUM(CASE WHEN {EARLY} THEN 1 WHEN event_id % 3 = 0 THEN -1 WHEN {_LATE} THEN 0 ELSE 1 END) AS BIGINT) AS n FROM events GROUP BY 1 HAVING SUM(CASE WHEN {EARLY} THEN 1 WHEN event_id % 3 = 0 THEN -1 WHEN {_LATE} THEN 0 ELSE 1 END) <> 0")
+def _(t):
+    """Late insertions are dropped, late retractions never."""
+    rows = t.events.select("event_id", "ts")
+    early = "event_id % 2 = 0 AND ts < TIMESTAMP_NTZ '2024-01-24 00:00:00'"
+    second = rows.filter(f"NOT ({early})").withColumn("w", F.when(F.col("event_id") % 3 == 0, -1).otherwise(1))
+    return late_windows([rows.filter(early).withColumn("w", F.lit(1)), second], "ts", "1 day", "drop", weight="w")[0]
+
+
+@query("late_session", f"SELECT event_id FROM events WHERE NOT ({EARLY}) AND {_MARK} > ts + INTERVAL '8 hours'")
+def _(t):
+    """Rows that come after the session they would make has ended."""
+    rows = t.events.select("event_id", "ts")
+    early = "event_id % 2 = 0 AND ts < TIMESTAMP_NTZ '2024-01-24 00:00:00'"
+    mark = rows.filter(early).agg(F.max("ts")).first()[0]
+    return split_late_sessions(rows.filter(f"NOT ({early})"), "ts", "8 hours", mark)[1].select("event_id")

@@ -256,3 +256,33 @@ def _(t):
     return t.pages.select("page_id", S.split_part("url", "/", 3).alias("host"), F.char_length("url").cast("long").alias("n"))
 
 
+# -- more aggregates, snapshots and late data
+sql_query("agg_cube", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+sql_query("agg_grouping_sets", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+sql_query("agg_decimal_avg", "SELECT l_returnflag, CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*) AS a FROM lineitem GROUP BY l_returnflag")
+sql_query("current_times", "SELECT COUNT(*) AS past FROM orders WHERE o_orderdate < CURRENT_DATE AND o_orderdate < NOW()")
+sql_query("timestamp_millis", "SELECT event_id, CAST(TIMESTAMP_MILLIS(event_id * 1000) AS TIMESTAMP_NTZ) AS t FROM events", "SELECT event_id, MAKE_TIMESTAMP(event_id * 1000000) AS t FROM events")
+
+
+@query("factorized_avg", "SELECT c_mktsegment, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total, COUNT(o_totalprice) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment HAVING AVG(o_totalprice) > 0")
+def _(t):
+    left = t.orders.select(F.col("o_custkey").alias("k"), money("o_totalprice").alias("v"))
+    out = batch.factorized_avg(left, t.customer.select(F.col("c_custkey").alias("k"), "c_mktsegment"), "k", "v", "c_mktsegment")
+    return out.filter("average > 0").select("c_mktsegment", F.col("total").cast("double").alias("total"), "n")
+
+
+@query("approx_distinct_bound", "SELECT o_orderpriority, TRUE AS near FROM orders GROUP BY o_orderpriority")
+def _(t):
+    """The estimate is within a tenth of the exact number."""
+    counts = t.orders.groupBy("o_orderpriority").agg(F.approx_count_distinct("o_custkey", 0.02).alias("a"), F.count_distinct("o_custkey").alias("e"))
+    return counts.select("o_orderpriority", (F.abs(F.col("a") - F.col("e")) <= F.col("e") * 0.1).alias("near"))
+
+
+@query("snapshot_chunks", "SELECT k, n, CAST(FLOOR((ROW_NUMBER() OVER (ORDER BY k NULLS FIRST, n) - 1) / 40) AS BIGINT) AS chunk FROM (SELECT NULLIF(c_name, c_name) AS k, c_custkey AS n FROM customer WHERE FALSE UNION ALL SELECT NULLIF(s_name, 'Supplier#000000003') AS k, s_suppkey AS n FROM supplier) x")
+def _(t):
+    """All rows, also those without a key, by a text key."""
+    from functools import reduce
+
+    rows = t.supplier.select(F.nullif("s_name", F.lit("Supplier#000000003")).alias("k"), F.col("s_suppkey").alias("n"))
+    parts = [c.drop("_weight").withColumn("chunk", F.lit(i).cast("long")) for i, c in batch.snapshot_chunks(rows, "k", 40, checkpointed)]
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +11,14 @@ from deltaweave.zset import WEIGHT
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; one of this machine only where the cluster names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(os.environ.get("TMPDIR", "/tmp"), "deltaweave-checkpoints")
+    """The folder that spark.checkpoint.dir names, which all executors share. Only a local session may go without; elsewhere that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"{tempfile.gettempdir()}/deltaweave-checkpoints"
+    return folder.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

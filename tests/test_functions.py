@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from deltaweave.functions import scalar as S
 from deltaweave.operators import batch
-from deltaweave.sources.tables import cdc_changes, generate_rows, json_rows
+from deltaweave.sources.tables import cdc_changes, checkpointed, generate_rows, json_rows
 from deltaweave.streaming.late import late_windows
 
 
@@ -99,3 +99,28 @@ def test_late_policies(spark):
     assert sorted(r["n"] for r in late_windows(epochs, "ts", "1 day", "drop")[0].collect()) == [1, 2]
     assert sorted(r["n"] for r in late_windows(epochs, "ts", "1 day", "update")[0].collect()) == [2, 2]
     assert late_windows(epochs, "ts", "1 day", "route")[1].count() == 1
+
+
+def test_windows_do_not_depend_on_the_session_zone(spark):
+    """Days with a clock change in New York among them."""
+    times = ["2024-07-01 00:30:00", "2024-03-10 02:30:00", "2024-03-10 03:10:00", "2024-11-03 01:30:00", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "i int, t string").selectExpr("i", "cast(t as timestamp_ntz) as t")
+    got = []
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            found = [batch.tumble(rows, "t", "1 day"), batch.hop(rows, "t", "1 day", "6 hours"), batch.sessions(rows, ["i"], "t", "1 hour")]
+            found.append(rows.select("i", S.date_bin("t", 900), S.date_part("epoch", "t"), S.date_part("dow", "t"), S.age("t", F.lit("2024-01-01"))))
+            got.append([sorted(map(str, (tuple(r.asDict().values()) for r in x.selectExpr(*[f"cast(`{c}` as string) as `{c}`" for c in x.columns]).collect()))) for x in found])
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got[0] == got[1] and "2024-07-01 00:00:00" in str(got[0][0])
+
+
+def test_snapshots_hold_every_row(spark):
+    rows = spark.createDataFrame([(None if i % 10 == 0 else f"k{i % 7}", i) for i in range(100)], "k string, v int")
+    parts = [(i, c.collect()) for i, c in batch.snapshot_chunks(rows, "k", 30, checkpointed)]
+    assert [(i, len(c)) for i, c in parts] == [(0, 30), (1, 30), (2, 30), (3, 10)] and {r["v"] for _, c in parts for r in c} == set(range(100))
+    again = [(i, c.collect()) for i, c in batch.snapshot_chunks(rows.repartition(5), "k", 30, checkpointed, resume_from=2)]
+    assert [(i, sorted(map(tuple, c), key=str)) for i, c in again] == [(i, sorted(map(tuple, c), key=str)) for i, c in parts[2:]]
+    assert list(batch.snapshot_chunks(rows.limit(0), "k", 30, checkpointed)) == []
