@@ -92,5 +92,13 @@ def in_batches(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(lambda batches: run(tidy(batches)), schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with as many lines behind it as no column of `df` is called, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -204,16 +204,25 @@ def held_out(id_col: str = "doc_id"):
 
 
 def held_out_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score), learned from the documents that are not held out."""
+    """(doc_id, held_out, lang_pred, score), learned from the documents that are not held out.
+
+    Each row keeps its own, also rows that repeat or whose id is null (never held out, and not learned from). A text that is null or
+    has no letter is UNKNOWN. Of languages with equal scores the first by name is given. An empty table gives an empty result.
+    """
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
     model = fit(own.filter(~held_out() & F.col("doc_id").isNotNull()), per_language)
     return identify(own, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """`docs` with lang_pred and score behind its own columns (which replace columns of these names)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.drop("lang_pred", "score")
+def with_language(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`docs` with the language and its score behind its own columns, under `names`, which must be free.
+
+    Rows that repeat, and those with null or repeated ids, each keep their row. A text that is null or has no letter is UNKNOWN. An empty
+    table gives an empty one.
+    """
+    if taken := {c.lower() for c in docs.columns} & {n.lower() for n in names}:
+        raise ValueError(f"columns of these names are there already: {sorted(taken)}")
+    shared, rows = docs.sparkSession.sparkContext.broadcast(model), docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -222,8 +231,8 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> Data
             for part in parts(batch, text_col):
                 for at in range(0, part.num_rows, SLICE):
                     piece = part.slice(at, SLICE)
-                    names, scores = own.predict(piece.column(text_col).to_pylist())
-                    yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*piece.schema.names, "lang_pred", "score"])
+                    found, scores = own.predict(piece.column(text_col).to_pylist())
+                    yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*piece.schema.names, *names])
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return rows.transform(in_batches, run, schema)

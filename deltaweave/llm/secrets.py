@@ -14,6 +14,8 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: The forms of the three base kinds and the least length of what must be long enough.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -163,7 +165,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> D
     """`docs` with every span replaced by `mark` (overlapping spans together by one); a null text stays null."""
     names = docs.columns
     text = F.col(text_col)
-    found = docs.select("*", F.explode(F.array(secret_spans(F.coalesce(text, F.lit(""))))).alias("_spans"))
+    own = free_name(docs, "_spans")
+    found = docs.select("*", F.explode(F.array(secret_spans(F.coalesce(text, F.lit(""))))).alias(own))
 
     def cut(spans: Column) -> Column:
         reach = running(F.transform(spans, lambda x: x["end"]), F.lit(0), lambda a, x: F.greatest(a, x))
@@ -171,7 +174,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> D
         kept = F.zip_with(spans, before, lambda x, p: F.when(x["start"] >= p, F.concat(F.substring(text, p + 1, x["start"] - p), F.lit(mark))).otherwise(F.lit("")))
         return F.concat(F.array_join(kept, ""), F.substring(text, F.element_at(reach, -1) + 1, F.length(text)))
 
-    clean = F.when(F.size("_spans") > 0, let(F.col("_spans"), cut)).otherwise(text)
+    clean = F.when(F.size(own) > 0, let(F.col(own), cut)).otherwise(text)
     return found.select(*[clean.alias(c) if c == text_col else F.col(c) for c in names])
 
 

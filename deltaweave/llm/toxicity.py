@@ -75,7 +75,9 @@ def dose_words(rows: list[tuple[int, set[str]]]) -> set[str]:
 def train(rows: list[tuple[int, set[str]]], clean_share: float = 1.0, alpha: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> Model:
     """`rows`: (toxic, words), in an order that does not depend on the cluster. `clean_share`: how much more densely toxic
     documents were sampled than others; the thresholds are moved by its logarithm. `l1`: for each row."""
-    dose = dose_words(rows) if any(y for y, _ in rows) else set()
+    if not any(y for y, _ in rows):
+        return Model({}, np.arange(LEVELS) + 40.0)
+    dose = dose_words(rows)
     doses = [len(w & dose) for y, w in rows if y]
     cuts = np.quantile(doses, np.arange(1, LEVELS) / LEVELS) if doses else np.zeros(LEVELS - 1)
     grades = [1 + int((len(w & dose) > cuts).sum()) if y else 0 for y, w in rows]
@@ -159,4 +161,5 @@ def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def labelled_severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """`severity` of all documents by a model of the labelled ones. Without a toxic label no text is toxic. An empty table gives an empty result; rows that repeat each keep their row."""
     return severity(docs, fit(docs, labels, sample))

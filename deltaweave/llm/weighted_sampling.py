@@ -7,8 +7,8 @@ weight w gives t = floor(ln w / r + b) and ln a = ln c - r * (t - b + 1), and th
 weights over the sum of the greater ones.
 
 A gamma(2, 1) is the sum of two exponentials, and also the product of a gamma(3, 1) and the root of a uniform, so that its
-logarithm is a sum, too; the sum of two uniforms is uniform again without its whole part. So the draws of a term are sums of those of two halves of its hash, and 2 ^ 26 combinations come from two tables of HALF rows,
-whatever the input, which may be broadcast. All rows of a document are made, counted and reduced in the partition that
+logarithm is a sum, too; the sum of two uniforms is uniform again without its whole part. So the draws of a term are sums of those of two halves of its hash, and
+2 ^ 26 combinations come from two tables of HALF rows, whatever the input, which may be broadcast. All rows of a document are made, counted and reduced in the partition that
 holds its text: words are never shuffled.
 """
 
