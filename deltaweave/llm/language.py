@@ -215,14 +215,12 @@ def held_out_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Data
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """`docs` with the language and its score behind its own columns, under `names`, which must be free.
+    """`docs` with the language and its score behind its own columns, under `names`; own columns of these names are replaced.
 
     Rows that repeat, and those with null or repeated ids, each keep their row. A text that is null or has no letter is UNKNOWN. An empty
     table gives an empty one.
     """
-    if taken := {c.lower() for c in docs.columns} & {n.lower() for n in names}:
-        raise ValueError(f"columns of these names are there already: {sorted(taken)}")
-    shared, rows = docs.sparkSession.sparkContext.broadcast(model), docs
+    shared, rows = docs.sparkSession.sparkContext.broadcast(model), docs.drop(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
