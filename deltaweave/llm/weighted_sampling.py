@@ -7,8 +7,9 @@ weight w gives t = floor(ln w / r + b) and ln a = ln c - r * (t - b + 1), and th
 weights over the sum of the greater ones.
 
 A gamma(2, 1) is the sum of two exponentials, and also the product of a gamma(3, 1) and the root of a uniform, so that its
-logarithm is a sum, too; the sum of two uniforms is uniform again without its whole part. So the draws of a term are sums of those of two halves of its hash, and
-2 ^ 26 combinations come from two tables of HALF rows, whatever the input, which may be broadcast. All rows of a document are made, counted and reduced in the partition that
+logarithm is a sum, too. So r and ln c of a term are sums of the draws of two halves of its hash, b is that of the first half, and
+2 ^ 26 combinations come from two tables of HALF rows, whatever the input, which may be broadcast. At weight 1, t is 0 and
+ln a = (c0 - r0 * d) + c1 - r1 * d with d = 1 - b, of which the first part is in the table; at others, r * t goes off. All rows of a document are made, counted and reduced in the partition that
 holds its text: words are never shuffled.
 """
 
@@ -28,32 +29,35 @@ BLANKS = " \t\n\x0b\f\r"
 NULL_ID = -(1 << 63)
 PART_CHARS = 3_000_000  # characters of text in one partition
 _ID_BITS = 24  # of a sample, and how many hex digits it has is in fingerprint()
+SCALE, OFFSET = 1 << 30, 192  # of the order of ln a in whole numbers
 _SPREAD = 0x9E3779  # odd, so that a term's t give different samples
 
 
 def draws(spark: SparkSession, side: int, samples: int = SAMPLES) -> DataFrame:
-    """(half<side>, c<side>, r<side>, b<side>): for each half of a hash, arrays over the samples. The sums of both sides are ln c, r and, but for its whole part, b."""
+    """For each half of a hash, arrays over the samples: half0, r0, d0 (one less b), p0 (ln c less r * d), or half1, r1, c1. All but d0 are in units of 1 / SCALE, and p0 is moved by OFFSET."""
 
     def log_uniform(k: Column, salt: int) -> Column:
         return F.coalesce(F.ln(uniform(k, salt)), F.lit(0.0))  # never null, and declared so
 
     def uniform(k: Column, salt: int) -> Column:
-        return (F.shiftrightunsigned(F.xxhash64("id", k, F.lit(2 * salt + side)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+        return (F.shiftrightunsigned(F.xxhash64("id", k, F.lit(2 * salt + side)), 11) + F.lit(0.5)) * F.lit(2.0**-53)  # not a quotient, which is declared as one that may be null
 
     def log_gamma(k: Column) -> Column:
         if side:
-            return log_uniform(k, 1) / 2
+            return log_uniform(k, 1) * 0.5
         return F.coalesce(F.ln(-(log_uniform(k, 1) + log_uniform(k, 4) + log_uniform(k, 5))), F.lit(0.0))
 
     def over(make) -> Column:
         return F.transform(F.sequence(F.lit(1), F.lit(samples)), make)
 
-    return spark.range(HALF).select(
-        F.col("id").alias(f"half{side}"),
-        over(log_gamma).alias(f"c{side}"),
-        over(lambda k: -log_uniform(k, 2)).alias(f"r{side}"),
-        over(lambda k: uniform(k, 3)).alias(f"b{side}"),
-    )
+    def gap(k: Column) -> Column:
+        return 1 - uniform(k, 3)
+
+    half, unit = F.col("id").alias(f"half{side}"), F.lit(float(SCALE))
+    r = over(lambda k: -log_uniform(k, 2) * unit).alias(f"r{side}")
+    if side:
+        return spark.range(HALF).select(half, r, over(lambda k: log_gamma(k) * unit).alias("c1"))
+    return spark.range(HALF).select(half, r, over(gap).alias("d0"), over(lambda k: (log_gamma(k) + log_uniform(k, 2) * gap(k) + OFFSET) * unit).alias("p0"))
 
 
 def sketch(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
@@ -61,22 +65,23 @@ def sketch(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES)
 
     A text without words has one term of its own, the empty word, so such texts have equal sketches.
     """
+    low = F.lit((1 << _ID_BITS) - 1)
     words = texts.select(*keys, F.explode(F.split(F.btrim(F.lower(text), F.lit(BLANKS)), r"\s+")).alias("word"))
     counted = words.select(*keys, F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("w"))
     halves = [F.shiftrightunsigned("term", side * _HALF_BITS).bitwiseAND(F.lit(HALF - 1)).alias(f"half{side}") for side in (0, 1)]
-    drawn = counted.select(*keys, *halves, F.shiftrightunsigned("term", 2 * _HALF_BITS).alias("own"), F.ln(F.col("w").cast("double")).alias("lw"))
+    drawn = counted.select(*keys, *halves, F.shiftrightunsigned("term", 2 * _HALF_BITS).bitwiseAND(low).alias("own"), F.coalesce(F.ln(F.col("w").cast("double")), F.lit(0.0)).alias("lw"))
     for side in (0, 1):
         drawn = drawn.join(F.broadcast(draws(texts.sparkSession, side, samples)), f"half{side}")
-    low = F.lit((1 << _ID_BITS) - 1)
 
     def sample(k: int) -> Column:
-        c, r, b = (F.col(f"{x}0")[k] + F.col(f"{x}1")[k] for x in "crb")
-        b = F.when(b >= 1, b - 1).otherwise(b)
-        t = F.when(F.col("lw") == 0, F.lit(0).cast("long")).otherwise(F.floor(F.col("lw") / r + b))  # most terms have weight 1
-        value = c - r * (t - b + 1)
-        # the order of the values in the upper bits, which sample it is in the lower ones
-        order = F.shiftleft(F.floor((value + 192) * float(1 << 30)), _ID_BITS)
-        return F.min(order.bitwiseOR((F.col("own") + t * F.lit(_SPREAD)).bitwiseAND(low))).alias(f"s{k}")
+        r0, d, p, r1, c = (F.col(x)[k] for x in ("r0", "d0", "p0", "r1", "c1"))
+        value = p + c - r1 * d
+        r = r0 + r1
+        t = F.coalesce(F.floor(F.col("lw") * float(SCALE) / r + 1 - d), F.lit(0).cast("long"))
+        # the order of the values in the upper bits, which sample it is in the lower ones; most terms have weight 1
+        one = F.shiftleft(F.floor(value), _ID_BITS).bitwiseOR(F.col("own"))
+        more = F.shiftleft(F.floor(value - r * t), _ID_BITS).bitwiseOR((F.col("own") + t * F.lit(_SPREAD)).bitwiseAND(low))
+        return F.min(F.when(F.col("lw") == 0, one).otherwise(more)).alias(f"s{k}")
 
     least = drawn.groupBy(*keys).agg(*[sample(k) for k in range(samples)])
     return least.select(*keys, F.array(*[F.col(f"s{k}").bitwiseAND(low).cast("int") for k in range(samples)]).alias("sketch"))
