@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from deltaweave.llm.anchors import segments
 from deltaweave.llm.components import components
-from deltaweave.llm.near_copies import one_of_each
+from deltaweave.llm.near_copies import one_of_each, shingle_set
 from deltaweave.llm.repeats import drop_passages, drop_repeats, merged, remove_repeats, repeat_digests, without
-from deltaweave.llm.simhash import fingerprint_components, link_fingerprints, masks, near_duplicates
+from deltaweave.llm.simhash import fingerprint_components, fingerprint_many, link_fingerprints, masks, near_duplicates
 from deltaweave.llm.suffix_index import SuffixIndex
 
 
@@ -127,6 +127,36 @@ def test_one_of_each_is_the_closure_of_all_pairs(spark):
     assert sorted(r["doc_id"] for r in one_of_each(docs).collect()) == sorted(set(groups.values()))
 
 
+def test_one_of_each_joins_simhash_groups_by_counted_shingles(spark):
+    """Long repeats of one line and some words of their own: fingerprints are the same, sets of shingles differ. With many own words all stay."""
+    rng = random.Random(6)
+    texts = []
+    for k in range(3):
+        line = [f"l{k}x{i}" for i in range(11)]
+        for j, own in enumerate([40, 60, 80, 40, 900, 900, 900]):
+            mine = [f"o{k}j{j}x{i}" for i in range(own)]
+            texts.append(line * (100 + j) + mine if rng.random() < 0.5 else mine + line * 100)
+    texts += [[f"p{i}" for i in range(300)] + t for t in (["a"], ["b"])]
+    prints = [int(x) & (1 << 64) - 1 for x in fingerprint_many([" ".join(t).encode() for t in texts], 5)]
+    counts = [Counter(tuple(t[i : i + 5]) for i in range(len(t) - 4)) for t in texts]
+    n = range(len(texts))
+    groups = closure(n, [(i, j) for i in n for j in n if i < j and (prints[i] ^ prints[j]).bit_count() <= 2])
+    by_sets = [(i, j) for i in n for j in n if i < j and 5 * len(counts[i].keys() & counts[j].keys()) >= 4 * len(counts[i].keys() | counts[j].keys())]
+    by_counts = [(i, j) for i in n for j in n if i < j and groups[i] == groups[j] and 5 * (counts[i] & counts[j]).total() >= 4 * (counts[i] | counts[j]).total()]
+    wanted = sorted(set(closure(n, by_sets + by_counts).values()))
+    assert len(set(groups.values())) < 8 < len(wanted) < len(set(closure(n, by_sets).values()))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in one_of_each(docs).collect()) == wanted
+
+
+def test_counted_shingles():
+    words = "a b c d e a b c d e a b c d e f".split()
+    text = " ".join(words).encode()
+    plain, counted = shingle_set(text, 5), shingle_set(text, 5, counted=True)
+    assert set(plain) <= set(counted) and (len(plain), len(counted)) == (6, 12)
+    assert set(counted) < set(shingle_set(text[:-2] + b" " + text, 5, counted=True))
+
+
 def random_texts(rng, length):
     letters = rng.choice([b"ab", b"abcdefgh \0\xff", bytes(range(256))])
     base = [bytes(rng.choice(letters) for _ in range(rng.randrange(5 * length))) for _ in range(6)]
