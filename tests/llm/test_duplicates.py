@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from deltaweave.llm.anchors import segments
+from deltaweave.llm.common import checkpoint
 from deltaweave.llm.components import components
 from deltaweave.llm.near_copies import one_of_each, shingle_set
 from deltaweave.llm.repeats import drop_passages, drop_repeats, merged, remove_repeats, repeat_digests, without
@@ -32,6 +33,24 @@ def closure(nodes, links):
     return {n: find(n) for n in nodes}
 
 
+def size_bits(df):
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+
+
+def test_checkpoints_keep_size_estimates_small(spark):
+    """Each join multiplies the estimates of its sides; over a chain of checkpoints they must not grow on."""
+    start = spark.range(20).selectExpr("id as a", "id % 7 as b")
+    made = checkpoint(start)
+    assert size_bits(made) == size_bits(start)
+    for _ in range(6):
+        made = checkpoint(made.join(made.select("a", F.col("b").alias("c")), "a").select("a", F.col("c").alias("b")))
+        assert size_bits(made) < 65
+    assert sorted(map(tuple, made.collect())) == [(i, i % 7) for i in range(20)]
+    rng = random.Random(8)
+    links = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(30)]
+    assert size_bits(components(spark.createDataFrame(links, "a long, b long"))) < 65
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(40)] + [(100, 150 + i) for i in range(30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(30)] + [(7, 7)]
