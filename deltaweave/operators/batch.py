@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from deltaweave.sources.tables import shared_folder
 from deltaweave.zset import WEIGHT
 
 
@@ -102,26 +104,40 @@ def might_contain(filter_bits: Column, value: Column, bits: int = 256, hashes: i
     return F.forall(F.array(*[F.pmod(F.xxhash64(F.lit(i), value), F.lit(bits)) for i in range(hashes)]), lambda p: F.array_contains(filter_bits, p))
 
 
-def snapshot_chunks(df: DataFrame, key: str, batch_size: int, checkpoint: Callable[[DataFrame], DataFrame], resume_from: int = 0):
-    """All rows in order of `key`, nulls first, in chunks of `batch_size`, as +1 changes, from chunk `resume_from` on.
+def chunk_numbers(df: DataFrame, key: str, batch_size: int, checkpoint: Callable[[DataFrame], DataFrame], then: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    """All rows with their chunk of `batch_size` as `_chunk`, in order of `key`, nulls first, and how many rows there are.
 
-    Rows with equal keys are in order of a hash of all their columns, so a row is in the same chunk whenever the same table is read
-    again. A key of any type that has an order will do. Only the number of rows in each range comes to the driver.
+    Rows with equal keys are in order of the columns `then`, nulls last, and after these of a hash of all their columns, so a row is in
+    the same chunk whenever the same table is read again. A key of any type that has an order will do. Only the number of rows in each
+    range comes to the driver; the table is sorted once, however many chunks there are.
     """
     named = df.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
-    order = [F.col(key).asc_nulls_first(), F.col("_h")]
-    ranged = checkpoint(named.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
-    counts = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.count("*").alias("n")).collect()}
-    before, total = {}, 0
-    for p in sorted(counts):
-        before[p], total = total, total + counts[p]
-    if not total:
+    order = [F.col(key).asc_nulls_first(), *[F.col(c).asc_nulls_last() for c in then], F.col("_h")]
+    ranged = named.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = checkpoint(ranged.drop("_h"))
+    part = F.shiftright("_at", 33)  # the id is the partition's number and, in the lower 33 bits, the row's place in it
+    counts = {r["p"]: r["n"] for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    before, total = [0], 0
+    for p in range(max(counts, default=-1) + 1):
+        total += counts.get(p, 0)
+        before.append(total)
+    offset = F.get(F.array(*[F.lit(n).cast("long") for n in before]), part.cast("int"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + offset
+    return ranged.withColumn("_chunk", F.floor(place / batch_size)).drop("_at"), total
+
+
+def snapshot_chunks(df: DataFrame, key: str, batch_size: int, checkpoint: Callable[[DataFrame], DataFrame], resume_from: int = 0, then: Sequence[str] = ()):
+    """The chunks of `chunk_numbers` one by one, as +1 changes, from chunk `resume_from` on.
+
+    Each is a folder of its own below spark.checkpoint.dir (of types that Parquet can hold), so reading one reads no other.
+    """
+    placed, total = chunk_numbers(df, key, batch_size, checkpoint, then)
+    if resume_from * batch_size >= total:
         return
-    offset = F.element_at(F.create_map(*[F.lit(x) for p, n in before.items() for x in (p, n)]), F.col("_p"))
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1 + offset
-    placed = checkpoint(ranged.withColumn("_chunk", F.floor(place / batch_size)).drop("_p", "_h"))
+    folder = f"{shared_folder(df.sparkSession)}/chunks-{uuid.uuid4().hex}"
+    placed.filter(F.col("_chunk") >= resume_from).write.partitionBy("_chunk").parquet(folder)
     for i in range(resume_from, -(-total // batch_size)):
-        yield i, placed.filter(F.col("_chunk") == i).drop("_chunk").withColumn(WEIGHT, F.lit(1).cast("long"))
+        yield i, df.sparkSession.read.schema(df.schema).parquet(f"{folder}/_chunk={i}").withColumn(WEIGHT, F.lit(1).cast("long"))
 
 
 def factorized_avg(left: DataFrame, right: DataFrame, key: str, value: str, group: str) -> DataFrame:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from deltaweave.functions import scalar as S
 from deltaweave.operators import batch
+from deltaweave.plans.catalog import QUERIES
 from deltaweave.sources.tables import cdc_changes, checkpointed, generate_rows, json_rows
 from deltaweave.streaming.late import late_windows
 
@@ -124,3 +125,20 @@ def test_snapshots_hold_every_row(spark):
     again = [(i, c.collect()) for i, c in batch.snapshot_chunks(rows.repartition(5), "k", 30, checkpointed, resume_from=2)]
     assert [(i, sorted(map(tuple, c), key=str)) for i, c in again] == [(i, sorted(map(tuple, c), key=str)) for i, c in parts[2:]]
     assert list(batch.snapshot_chunks(rows.limit(0), "k", 30, checkpointed)) == []
+
+
+def test_chunks_are_read_one_by_one(spark):
+    rows = spark.range(100).selectExpr("cast(null as string) AS k", "id AS v")
+    files = [c.inputFiles() for _, c in batch.snapshot_chunks(rows, "k", 30, checkpointed, then=["v"])]
+    assert len(files) == 4 and all(files) and len(set(sum(files, []))) == sum(map(len, files))
+
+
+@pytest.mark.parametrize("copies", [0, 7])
+def test_the_snapshot_query_takes_one_plan_for_all_chunks(spark, tmp_path, copies):
+    """Also where names are repeated, in which case the second column says which row comes first, and over no rows at all."""
+    names = spark.range(50 * copies).selectExpr("format_string('Supplier#%09d', id % 50) AS s_name", "id AS s_suppkey")
+    names.write.parquet(str(tmp_path / "supplier.parquet"))
+    found = QUERIES["snapshot_chunks"](spark, str(tmp_path))
+    ordered = sorted(names.collect(), key=lambda r: ("" if r["s_name"] == "Supplier#000000003" else r["s_name"], r["s_suppkey"]))
+    assert {r["n"]: r["chunk"] for r in found.collect()} == {r["s_suppkey"]: i // 40 for i, r in enumerate(ordered)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
