@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,7 @@ from deltaweave import zset
 from deltaweave.plans.nodes import Context, Node, States
 from deltaweave.zset import WEIGHT
 
+PART, LEAST = 8, 1 << 20  # a change is large if its files have LEAST bytes and a PART-th of those of the state with it
 FOLD = 8  # logs that a state gathers before they become part of its base
 META = "seq long, epoch long, name string, kind string, path string"
 
@@ -89,6 +91,16 @@ class Engine:
     def _stored(self, name: str, path: str) -> DataFrame:
         return self.spark.read.schema(self._weighted_schema(name)).parquet(path)
 
+    def _large(self, name: str, path: str) -> bool:
+        """Whether the change at `path` is a large part of a state."""
+
+        def size(path: str) -> int:
+            at, fs = self._fs(path)
+            return fs.getContentSummary(at).getLength()
+
+        change = size(path)
+        return change >= LEAST and change * (PART - 1) >= sum(map(size, self._paths(name)))
+
     def _weighted_schema(self, name: str) -> T.StructType:
         return T.StructType([*self.schemas[name].fields, T.StructField(WEIGHT, T.LongType())])
 
@@ -159,9 +171,12 @@ class Engine:
 
     # -- states
 
+    def _paths(self, name: str) -> list[str]:
+        return [*([self.base[name][1]] if name in self.base else []), *[p for _, p in self.logs[name][self.folded.get(name, 0) :]]]
+
     def _present(self, name: str, more: Sequence[str] = ()) -> DataFrame:
         """The state as base and logs, not yet added up."""
-        paths = [*([self.base[name][1]] if name in self.base else []), *[p for _, p in self.logs[name][self.folded.get(name, 0) :]], *more]
+        paths = [*self._paths(name), *more]
         if not paths:
             return self.spark.createDataFrame([], self._weighted_schema(name))
         return reduce(lambda a, b: a.unionByName(b), [self._stored(name, p) for p in paths])
@@ -186,16 +201,16 @@ class Engine:
         given = {}
         for name, change in changes.items():
             given[name] = self._write(zset.consolidate(change.select(*self.schemas[name].names, WEIGHT)), name, "log", epoch)
-            self._check(name, self._stored(name, given[name]))
+            self._check(name, self._stored(name, given[name]), self._large(name, given[name]))
         self._run(epoch, given)
         return True
 
-    def _check(self, name: str, change: DataFrame) -> None:
+    def _check(self, name: str, change: DataFrame, large: bool) -> None:
         """An error if the change retracts more of a row than there is."""
         gone = change.filter(F.col(WEIGHT) < 0)
         if gone.isEmpty():
             return
-        met = zset.rows_with_keys(self._present(name), self.schemas[name].names, gone)
+        met = self._present(name) if large else zset.rows_with_keys(self._present(name), self.schemas[name].names, gone)
         if not zset.consolidate(met.unionByName(gone)).filter(F.col(WEIGHT) < 0).isEmpty():
             raise ValueError(f"invalid multiplicity in {name}: more rows were retracted than exist")
 
@@ -203,11 +218,13 @@ class Engine:
         written = dict(given)
         old = self._states()
         for level in self.levels():
-            cx = Context(old, {n: self._stored(n, p) for n, p in written.items()}, self._states(written), self.inline)
+            large = frozenset(n for n, p in written.items() if self._large(n, p))
+            cx = Context(old, {n: self._stored(n, p) for n, p in written.items()}, self._states(written), self.inline, large)
             due = [n for n in level if n not in given and self._reads(self.views[n]) & written.keys()]
 
             def advance(name: str, cx: Context = cx) -> str:
-                return self._write(zset.consolidate(self.views[name].delta(cx)), name, "log", epoch)
+                node = self.views[name]
+                return self._write(zset.consolidate(node.delta(replace(cx, own=(node, old[name])))), name, "log", epoch)
 
             with ThreadPoolExecutor(max(1, min(8, len(due)))) as pool:
                 written |= dict(zip(due, pool.map(advance, due), strict=True))

@@ -37,6 +37,21 @@ class Context:
     delta: dict[str, DataFrame]
     new: dict[str, DataFrame]
     inline: dict[str, Node] = field(default_factory=dict)
+    large: frozenset[str] = frozenset()  # sources whose change is a large part of them
+    own: tuple[Node, DataFrame] | None = None  # the view's node and the weighted rows that the view has
+
+    def known(self, node: Node) -> DataFrame | None:
+        """The node's output before the change, if it is kept."""
+        return self.own[1] if self.own is not None and self.own[0] is node else None
+
+    def with_keys(self, node: Node, state: DataFrame, keys: Sequence[str], touched: DataFrame) -> DataFrame:
+        """Rows of the touched keys; all rows where so much of the node's sources changed that to look for these costs more than it spares."""
+        names, seen = list(node.sources()), set()
+        while names:
+            name = names.pop()
+            seen.add(name)
+            names += self.inline[name].sources() if name in self.inline else ()
+        return state if not keys or seen & self.large else zset.rows_with_keys(state, list(keys), touched)
 
 
 class Node:
@@ -167,12 +182,14 @@ class Keyed(Node):
         return self.of_rows(rows)
 
     def delta(self, cx):
-        change = self.child.delta(cx)
-        sides = []
-        for sources in (cx.old, cx.new):
-            state = self.child.state(sources)
-            sides.append(zset.lift(self.of_rows(zset.expand(zset.rows_with_keys(state, list(self.keys), change) if self.keys else state))))
-        return zset.diff(*sides)
+        change, known = self.child.delta(cx), cx.known(self)
+
+        def rows(sources: dict[str, DataFrame]) -> DataFrame:
+            return zset.lift(self.of_rows(zset.expand(cx.with_keys(self, self.child.state(sources), self.keys, change))))
+
+        if known is None or not set(self.keys) <= set(known.columns):
+            return zset.diff(rows(cx.old), rows(cx.new))
+        return zset.diff(cx.with_keys(self, known, self.keys, change), rows(cx.new))
 
 
 def aggregate(child: Node, keys: Sequence[str], *aggs: Column) -> Keyed:
@@ -218,7 +235,7 @@ class SumCount(Node):
 
     def delta(self, cx):
         change = self._sums(self.child.delta(cx))
-        before = self._sums(zset.rows_with_keys(self.child.state(cx.old), list(self.keys), change))
+        before = self._sums(cx.with_keys(self, self.child.state(cx.old), self.keys, change))
         after = before.unionByName(change).groupBy(*self.keys).agg(*[F.sum(c).alias(c) for c in ("_s", "_c", "_n")])
         return zset.diff(self._rows(before), self._rows(after))
 
@@ -244,7 +261,7 @@ class Matching(Node):
         theirs = touched.select(*[F.col(x).alias(y) for x, y in self.on])
         sides = []
         for sources in (cx.old, cx.new):
-            a, b = zset.rows_with_keys(self.left.state(sources), lk, touched), zset.rows_with_keys(self.right.state(sources), rk, theirs)
+            a, b = cx.with_keys(self, self.left.state(sources), lk, touched), cx.with_keys(self, self.right.state(sources), rk, theirs)
             sides.append(zset.lift(self.batch(zset.expand(a), zset.expand(b))))
         return zset.diff(*sides)
 
@@ -265,7 +282,8 @@ class NullAwareAnti(Node):
         return batch.null_aware_anti(a, b, self.left_key, self.right_key)
 
     def delta(self, cx):
-        return zset.diff(self.state(cx.old), self.state(cx.new))
+        known = cx.known(self)
+        return zset.diff(self.state(cx.old) if known is None else known, self.state(cx.new))
 
 
 @dataclass
@@ -291,8 +309,12 @@ class SetOp(Node):
     def delta(self, cx):
         keys = zset.columns(self.inputs[0].state(cx.old))
         touched = reduce(lambda x, y: x.union(y), [i.delta(cx).select(*keys) for i in self.inputs]).distinct()
-        sides = [zset.lift(self.batch(*[zset.expand(zset.rows_with_keys(i.state(s), keys, touched)) for i in self.inputs])) for s in (cx.old, cx.new)]
-        return zset.diff(*sides)
+        known = cx.known(self)
+
+        def rows(sources: dict[str, DataFrame]) -> DataFrame:
+            return zset.lift(self.batch(*[zset.expand(cx.with_keys(self, i.state(sources), keys, touched)) for i in self.inputs]))
+
+        return zset.diff(rows(cx.old) if known is None else cx.with_keys(self, known, keys, touched), rows(cx.new))
 
 
 @dataclass
@@ -314,4 +336,5 @@ class Recursion(Node):
         return batch.fixed_point(base, lambda new: self.step(new, named), self.checkpoint, self.max_iterations)
 
     def delta(self, cx):
-        return zset.diff(self.state(cx.old), self.state(cx.new))
+        known = cx.known(self)
+        return zset.diff(self.state(cx.old) if known is None else known, self.state(cx.new))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from deltaweave import zset
 from deltaweave.operators import batch
+from deltaweave.plans import engine as engines
 from deltaweave.plans import nodes as N
 from deltaweave.plans.engine import CycleError, Engine, delete, update
 
@@ -186,3 +187,45 @@ def test_a_stream_commits_its_batches(spark, tmp_path):
         stream = spark.readStream.schema("id long, ts timestamp").json(str(source))
         e.stream("events", stream, str(tmp_path / "progress"), ts="ts", delay="1 day").awaitTermination()
     assert [r["n"] for r in e.read("v").collect()] == [3] and e.epoch == 1
+
+
+def test_a_view_takes_its_old_rows_from_itself(spark, tmp_path):
+    made = []
+    e = Engine(spark, str(tmp_path))
+    e.create_table("a", SCHEMA["a"])
+    e.create_materialized_view("v", N.Keyed(A, ["k"], lambda rows: made.append(1) or rows.groupBy("k").agg(F.max("v").alias("hi"))))
+    made.clear()
+    e.commit(0, {"a": zset.lift(spark.createDataFrame([(1, 1), (1, 5), (None, 3)], SCHEMA["a"]))})
+    e.commit(1, {"a": spark.createDataFrame([(1, 5, -1), (None, 4, 1)], f"{SCHEMA['a']}, _weight long")})
+    assert len(made) == 2 and bag(e.read("v")) == Counter({(1, 1): 1, (None, 4): 1})
+
+
+@pytest.mark.parametrize("name", ["inner", "full", "semi", "sum_count", "minmax", "except", "top_k"])
+def test_large_changes_look_for_no_keys(spark, tmp_path, monkeypatch, name):
+    """Where most of a table changes, and every change counts as large here, views equal their definition without a search for touched keys."""
+    looked, real = [], zset.rows_with_keys
+    monkeypatch.setattr(engines, "LEAST", 0, raising=False)
+    monkeypatch.setattr(zset, "rows_with_keys", lambda *x: looked.append(1) or real(*x))
+    rng = random.Random(name)
+    e = Engine(spark, str(tmp_path))
+    for t, s in SCHEMA.items():
+        e.create_table(t, s)
+    node = NODES[name]()
+    e.create_materialized_view("v", node)
+    rows = {"a": [], "b": []}
+    for epoch in range(2):
+        e.commit(epoch, {t: spark.createDataFrame(changes(rng, rows[t]), f"{SCHEMA[t]}, _weight long") for t in rows})
+    assert bag(e.read("v")) == bag(zset.expand(node.state({t: zset.lift(spark.createDataFrame(rows[t], SCHEMA[t])) for t in rows})))
+    assert not looked
+
+
+def test_small_changes_look_for_their_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(engines, "LEAST", 0)
+    e = Engine(spark, str(tmp_path))
+    e.create_table("a", SCHEMA["a"])
+    e.create_materialized_view("v", N.aggregate(A, ["k"], F.count("*").alias("n")))
+    e.commit(0, {"a": zset.lift(spark.range(50_000).selectExpr("id % 9 AS k", "id AS v"))})
+    looked, real = [], zset.rows_with_keys
+    monkeypatch.setattr(zset, "rows_with_keys", lambda *x: looked.append(1) or real(*x))
+    e.commit(1, {"a": zset.lift(spark.createDataFrame([(4, 1)], SCHEMA["a"]), 2)})
+    assert looked and Counter(r["n"] for r in e.read("v").collect()) == Counter([5556] * 4 + [5558] + [5555] * 4)
